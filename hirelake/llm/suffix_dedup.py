@@ -39,7 +39,8 @@ PIECE = 1 << 19
 #: Low bits of a key's hash that make room for its place in a buffer of at most two pieces.
 PLACE_BITS = 21
 BLOCK_BYTES = 1 << 20
-HOT = 2_000
+#: Different runs of one key that fill a block of their own, at about 130 bytes a run.
+HOT = BLOCK_BYTES // 130
 NULL_ID = -(1 << 63)
 #: Odd multipliers of the string hashes.
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
