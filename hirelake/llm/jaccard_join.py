@@ -104,12 +104,15 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b of class numbers) with their exact overlap; only texts that occur in a pair are shingled again."""
+    """pairs (a, b, ids of classes) with their exact overlap; only texts that occur in a pair are shingled again.
+
+    Pairs and texts grow with the corpus, so all three joins are sort-merge joins at every size.
+    """
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingle_set(F.col("text"), k).alias("h"))
+    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingle_set(F.col("text"), k).alias("h"))
     sets = cut(sets, "jj-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")), "b")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")).hint("merge"), "b")
     return both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("overlap"))
 
 
