@@ -2,10 +2,10 @@
 
 1. Every text becomes the set of 64-bit hashes of its distinct shingles; equal sets are one class from here on.
 2. Tokens are ordered by the count of their hash bucket over the whole corpus (a table of fixed size), rare first; a
-   class enters index lists with its first n - ceil(t n) + 1 tokens and their positions. Two sets that reach t share a
-   token in both prefixes at which min(n1 - i, n2 - j) still reaches the overlap they need; list entries that can't
-   satisfy this with each other are skipped by position and size.
-3. Set relations: each list has a pivot. Every class is compared exactly with one pivot (of its longest list). Links
+   class enters index lists with its first n - ceil(t n) + 2 tokens and their positions. Two different sets that reach t
+   (over a half) share two tokens in both prefixes, at which min(n1 - i, n2 - j) + 1 still reaches the overlap they need;
+   list entries that can't satisfy this with each other are skipped by position and size.
+3. Set relations: each list has a pivot. A class is compared exactly with one pivot (which it meets most often). Links
    found so give first components. Only entries of a list that are in different components are paired further, and
    those pairs are answered from the pivot's answers where they can be: with the symmetric differences d to a common
    pivot, d1 + d2 within the bound is a link and |d1 - d2| beyond it is none. The rest is compared exactly.
@@ -77,8 +77,8 @@ def _prefixes(shared, num: int, den: int):
                 n = len(h)
                 h = np.sort(h)
                 keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest())
-                p = n - (num * n + den - 1) // den + 1 if n else 0
-                prefixes.append(h[np.argsort(rank[_bucket(h)], kind="stable")[:p]] if n else h)
+                p = n - (num * n + den - 1) // den + 2
+                prefixes.append(h[np.argsort(rank[_bucket(h)], kind="stable")[:p]])
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": b["h"].map(len).astype("int64"), "key": keys, "prefix": prefixes})
 
     return run
@@ -118,6 +118,8 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text), linking sets with overlap / union >= num / den."""
+    if 2 * num <= den:
+        raise ValueError("the share must be over a half")
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
     sets = docs.select("doc_id", shingle_set(F.col("text"), k).alias("h"))
@@ -138,11 +140,14 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     lists = cut(posts.join(cut(lists, "jj-lists"), "token"), "jj-entries")
 
     def may(n1, i, n2, j):
-        return (num + den) * F.least(n1 - i, n2 - j) >= num * (n1 + n2)
+        return (num + den) * (F.least(n1 - i, n2 - j) + 1) >= num * (n1 + n2)
 
     c = F.col
     to_pivot = (
         lists.filter((c("rep") != c("p_rep")) & may(c("n"), c("pos"), c("p_n"), c("p_pos")))
+        .groupBy("rep", "p_rep", "n", "p_n")
+        .agg(F.count(F.lit(1)).alias("m"))
+        .filter("m > 1")
         .groupBy("rep")
         .agg(F.max(F.struct("m", -c("p_rep"), "n", "p_n")).alias("x"))
         .select(c("rep").alias("b"), (-c("x.col2")).alias("a"), c("x.n").alias("nb"), c("x.p_n").alias("na"))
@@ -178,7 +183,10 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         .filter((c("x_comp") != c("y_comp")) & (~c("x_minor") | (c("x_rep") < c("y_rep"))))
         .filter(may(c("x_n"), c("x_pos"), c("y_n"), c("y_pos")) & ~never)
         .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), (c("x_n") + c("y_n")).alias("ns"), sure.alias("sure"))
-        .distinct()
+        .groupBy("a", "b", "ns", "sure")
+        .agg(F.count(F.lit(1)).alias("m"))
+        .filter("m > 1")
+        .select("a", "b", "ns", "sure")
     )
     more = cut(more, "jj-open")
     asked = more.filter("not sure")
