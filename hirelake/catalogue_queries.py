@@ -1,15 +1,9 @@
-"""Queries of the job catalogue and their SQL, by operator family."""
+"""All queries of the job catalogue and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from .operators import audit, catalogue, lifecycle, scoring
 
-FLAGSHIP = "orders_by_status"
-
-
-def orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count().withColumnRenamed("count", "n")
-
-
-QUERIES = {"orders_by_status": orders_by_status}
-ORACLE = {"orders_by_status": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"}
+FLAGSHIP = "rank_top"
+QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES}
+ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE}
