@@ -18,17 +18,27 @@ from hirelake.llm.queries import tokenizer_path
 from hirelake.llm.secret_scan import secret_scan
 
 
-def _rewritten(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """The columns of docs with their text replaced, and its length with it where there is one."""
-    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), F.col(text)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+def _bare(docs: DataFrame) -> DataFrame:
+    """docs under names no operator uses: text, and c0, c1, ... by position, so that no column of docs can clash."""
+    return docs.toDF(*["text" if n == "text" else f"c{i}" for i, n in enumerate(docs.columns)])
+
+
+def _named(out: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of docs again, text taken from ``text``, and n_chars its length where the text was changed."""
+
+    def column(i: int, name: str):
+        if name == "text":
+            return F.when(F.col("text").isNotNull(), F.col(text))
+        if name == "n_chars" and text != "text":
+            return F.when(F.col("text").isNotNull(), F.length(text).cast("long"))
+        return F.col(f"c{i}")
+
+    return out.select(*[column(i, n).alias(n) for i, n in enumerate(docs.columns)])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; failing lines of the others go."""
-    return _rewritten(quality_rules(docs).filter("kept"), "cleaned_text", docs.columns)
+    return _named(quality_rules(_bare(docs)).filter("kept"), docs, "cleaned_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,21 +51,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    return _named(decontaminate(_bare(docs), table(spark, sf_dir, "benchmark")).filter("not contaminated"), docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts; every document stays."""
-    return _rewritten(secret_scan(docs), "redacted_text", docs.columns)
+    return _named(secret_scan(_bare(docs)), docs, "redacted_text")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids (little-endian unsigned 32-bit) with their number and the digest of their decoding."""
-    coded = bpe.bpe_encode(docs, tokenizer_path(), prefix="bpe_")
-    return coded.select(
-        "doc_id", "lang", "source", F.col("bpe_n_tokens").alias("n_tokens"), F.col("bpe_ids").alias("ids"),
-        F.sha2("bpe_decoded", 256).alias("decoded_sha256"),
-    )
+    coded = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

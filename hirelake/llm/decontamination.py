@@ -9,7 +9,8 @@ to the first question mark, else the first half) and the answer part must share
 
 The index holds test items only and is broadcast in shards of at most SHARD_WORDS words; each shard is one pass.
 
-Defined cases: a null or empty text has no passage and is clean; null or empty items match nothing; repeated items each
+Defined cases: a null or empty text has no passage and is clean; null or empty items match nothing; an item
+without an id is reported as -1; repeated items each
 count; texts of any length are read whole in windows that overlap by an item's length; an empty table gives an empty
 table; other columns pass through.
 """
@@ -49,7 +50,7 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None]]):
         kept = [(i, t, terms(t)) for i, t in items]
         kept = [x for x in kept if x[2]]
-        self.ids = [x[0] for x in kept]
+        self.ids = [-1 if x[0] is None else int(x[0]) for x in kept]
         n = len(kept)
         df = Counter(w for x in kept for w in set(x[2]))
         mean = sum(len(x[2]) for x in kept) / max(1, n)
