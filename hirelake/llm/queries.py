@@ -11,6 +11,7 @@ from .common import table
 from .decontamination import decontaminate, op3_columns
 from .jaccard_join import jaccard_join
 from .lm_scoring import lm_scores
+from .oracle import ORACLE as ORACLE
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .suffix_dedup import substring_dedup
@@ -109,5 +110,3 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-
-ORACLE: dict[str, str] = {}
