@@ -11,16 +11,20 @@ repeated rows are encoded one by one; an empty table gives an empty table; other
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import json
+import struct
 import unicodedata
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEEP = 400_000
+LONG_PIECE = 256
+NEVER = 1 << 40
 
 
 def byte_symbols() -> list[str]:
@@ -51,7 +55,8 @@ class Encoder:
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in model["special"].items()}
         self.special = model["special"]
         v = self.vocab
-        self.rank = {(v[a], v[b]): (k, v[a + b]) for k, (a, b) in enumerate(model["merges"])}
+        self.rank = {(v[a], v[b]): k for k, (a, b) in enumerate(model["merges"])}
+        self.new = [v[a + b] for a, b in model["merges"]]
         self.symbols = byte_symbols()
         self.pairs = set()
         for token in v:
@@ -61,7 +66,7 @@ class Encoder:
         self.cut = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.table = str.maketrans({i: s for i, s in enumerate(self.symbols)})
         self.pieces: dict[tuple[str, bool], list[int]] = {}
-        self.words: dict[str, tuple[bytes, str, int]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
 
     def fragments(self, word: str) -> list[str]:
         """A word of byte symbols, cut wherever no token could span the cut."""
@@ -74,63 +79,85 @@ class Encoder:
         return out
 
     def merge(self, piece: str, last: bool) -> list[int]:
-        """Merge one fragment; last: it ends its word."""
-        vocab, rank = self.vocab, self.rank
-        ids = [vocab[c] for c in piece]
+        """Merge one fragment, the best-ranked and leftmost pair first; last: it ends its word."""
+        ids = [self.vocab[c] for c in piece]
         if last and self.end:
-            ids[-1] = vocab[piece[-1] + self.end]
-        while len(ids) > 1:
-            found = [(r, i) for i, pair in enumerate(zip(ids, ids[1:])) if (r := rank.get(pair))]
-            if not found:
+            ids[-1] = self.vocab[piece[-1] + self.end]
+        if len(ids) > LONG_PIECE:
+            return self.merge_long(ids)
+        get, new = self.rank.get, self.new
+        ranks = [get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == NEVER:
                 break
-            (_, new), at = min(found)
-            a, b = ids[at], ids[at + 1]
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i : i + 2] = [new[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
         return ids
 
-    def word(self, text: str) -> tuple[bytes, str, int]:
-        """Codes of one word as little-endian bytes, its tokens joined by blanks, and how many there are."""
-        if (got := self.words.get(text)) is not None:
-            return got
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same for fragments of any length: a heap of pairs over a linked list, n log n."""
+        get, new, n = self.rank.get, self.new, len(ids)
+        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get((ids[i], ids[i + 1]), NEVER)) != NEVER]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = right[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j], right[i] = new[r], -1, right[j]
+            if right[j] >= 0:
+                left[right[j]] = i
+            for x in (left[i], i):
+                if x >= 0 and right[x] >= 0 and (q := get((ids[x], ids[right[x]]), NEVER)) != NEVER:
+                    heapq.heappush(heap, (q, x, ids[x], ids[right[x]]))
+        return [x for x in ids if x >= 0]
+
+    def word(self, text: str) -> tuple[bytes, str]:
+        """Codes of one word as little-endian bytes, and its tokens joined by blanks."""
         ids: list[int] = []
-        parts = self.fragments(text.encode("utf-8").decode("latin-1").translate(self.table))
+        parts = self.fragments(text.encode("utf-8", "replace").decode("latin-1").translate(self.table))
         for k, p in enumerate(parts):
             key = (p, k == len(parts) - 1)
             if (code := self.pieces.get(key)) is None:
-                if len(self.pieces) >= KEEP:
-                    self.pieces.clear()
-                code = self.pieces[key] = self.merge(*key)
+                code = self.merge(*key)
+                if len(parts) > 1:
+                    if len(self.pieces) >= KEEP:
+                        self.pieces.clear()
+                    self.pieces[key] = code
             ids += code
-        got = b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids), len(ids)
+        got = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
         if len(self.words) >= KEEP:
             self.words.clear()
         if len(text) <= 64:
             self.words[text] = got
         return got
 
-    def plain(self, text: str) -> list[tuple[bytes, str, int]]:
+    def plain(self, text: str) -> list[tuple[bytes, str]]:
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
         text = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
-        word = self.word
-        return [word(w) for w in self.split.findall(text)]
+        get, word = self.words.get, self.word
+        return [get(w) or word(w) for w in self.split.findall(text)]
 
     def encode(self, text: str) -> tuple[bytes, str, int]:
         """Ids of a whole text as little-endian unsigned 32-bit bytes, the decoded text, and the number of ids."""
         parts, at = [], 0
-        for m in self.cut.finditer(text) if self.cut else ():
+        for m in self.cut.finditer(text) if self.cut and any(s in text for s in self.special) else ():
             parts += self.plain(text[at : m.start()])
-            parts.append((self.special[m[0]].to_bytes(4, "little"), m[0], 1))
+            parts.append((self.special[m[0]].to_bytes(4, "little"), m[0]))
             at = m.end()
         parts += self.plain(text[at:] if at else text)
-        return b"".join(p[0] for p in parts), " ".join([p[1] for p in parts]), sum(p[2] for p in parts)
+        if not parts:
+            return b"", "", 0
+        codes, tokens = zip(*parts)
+        ids = b"".join(codes)
+        return ids, " ".join(tokens), len(ids) // 4
 
 
 _READY: dict[str, Encoder] = {}
@@ -155,12 +182,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", prefix: str = "")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, digested where it is encoded."""
-    from pyspark.sql import functions as F
-
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text."""
     coded = bpe_encode(docs.select("doc_id", "text"), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
