@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import audit, catalogue, lifecycle, scoring
+from .operators import audit, candidates, catalogue, lifecycle, scoring
 
 FLAGSHIP = "rank_top"
-QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES}
-ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE}
+QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES, **candidates.QUERIES}
+ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE, **candidates.ORACLE}

@@ -94,10 +94,10 @@ def job_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """For each customer's order the next three orders of that customer."""
+    """For each customer's order the next three orders of that customer, -1 where there is none."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    following = [F.lead("o_orderkey", k).over(w).alias(f"next{k}") for k in (1, 2, 3)]
+    following = [F.lead("o_orderkey", k, -1).over(w).alias(f"next{k}") for k in (1, 2, 3)]
     return o.select("o_orderkey", *following)
 
 
@@ -155,7 +155,7 @@ ORACLE = {
       SELECT external_id, sha256({_NORM('title')} || chr(10) || {_NORM('description')}) AS content_hash, sid AS site_id,
       CASE WHEN (h & 2147483647) = 0 THEN 1 ELSE h & 2147483647 END AS stable_id,
       regexp_replace(regexp_replace(regexp_replace(lower(k), '[^a-zа-яё0-9]+', '-', 'g'), '^-', ''), '-$', '') || '-' || lower(to_base(sid, 36)) AS slug FROM i""",
-    "related_jobs": """SELECT o_orderkey, lead(o_orderkey, 1) OVER w AS next1, lead(o_orderkey, 2) OVER w AS next2, lead(o_orderkey, 3) OVER w AS next3
+    "related_jobs": """SELECT o_orderkey, lead(o_orderkey, 1, -1) OVER w AS next1, lead(o_orderkey, 2, -1) OVER w AS next2, lead(o_orderkey, 3, -1) OVER w AS next3
       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""",
     "snapshot_diff": f"""WITH {JOBS}, a AS (SELECT DISTINCT source, lang FROM documents), b AS (SELECT DISTINCT company AS source, location AS lang FROM jobs WHERE NOT active)
       SELECT source, lang, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT source, lang, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
