@@ -38,7 +38,7 @@ MAX_LOST_PERCENT = 40
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def repeat_words(tokens: Column) -> Column:
@@ -47,8 +47,7 @@ def repeat_words(tokens: Column) -> Column:
 
     def windows(w):
         return F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
+            F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
         )
 
     def repeated(s):
@@ -66,9 +65,13 @@ def repeat_words(tokens: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.when(i == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get(p, i - 1))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
+    def places(h):
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        found = bind(F.sort_array(bind(placed, repeated)), covered)
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), found).otherwise(F.lit(0).cast("long"))
+
     def count(w):
-        found = bind(F.sort_array(windows(w)), repeated)
-        return bind(F.sort_array(found), covered)
+        return bind(windows(w), places)
 
     return F.when(F.size(tokens) >= 3, bind(tokens, count)).otherwise(F.lit(0).cast("long"))
 
@@ -78,13 +81,10 @@ def line_fails(line: Column) -> Column:
 
     def judged(w):
         n = F.size(w)
-        pipes = _count_of(line, "|")
+        pipes = F.when(line.contains("|"), _count_of(line, "|")).otherwise(0)
         symbols = _count_of(line, SYMBOLS)
-        shouts = _count_of(line, "!")
-        low = F.lower(line)
-        phrase = F.lit(False)
-        for p in BOILERPLATE:
-            phrase = phrase | low.contains(p)
+        shouts = F.when(line.contains("!"), _count_of(line, "!")).otherwise(0)
+        phrase = F.lower(line).rlike("|".join(BOILERPLATE))
         bare = ~F.substring(F.rtrim(line), -1, 1).isin(*".!?:;,)]}\"'»”…")
         return (
             ((pipes >= 2) & (pipes * 4 >= n))
@@ -102,12 +102,12 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cleaned_text, lost_chars, kept."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_w", words(F.col(text))).withColumn("_l", F.split(t, "\n"))
-    has_word = lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0
+    has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
     dup_lines = bind(F.filter(F.col("_l"), has_word), lambda l: F.size(l) - F.size(F.array_distinct(l)))
     df = df.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": _count_of(t, SYMBOLS).cast("long"),
             "n_dup_lines": dup_lines.cast("long"),
             "n_repeat_words": repeat_words(F.col("_w")),
