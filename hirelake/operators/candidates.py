@@ -80,12 +80,14 @@ def settings_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Customers against the average balance of their nation, or of all where it has fewer than five."""
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast("double").alias("bal"))
-    per = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.avg("bal").alias("mean")).filter("n >= 5")
-    total = c.agg(F.avg("bal")).first()[0] or 0.0
+    """Customers' whole cents above the average balance of their nation, or of all where it has fewer than five."""
+    cents = F.round(F.col("c_acctbal").cast("double") * 100).cast("long")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", cents.alias("bal"))
+    per = c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("bal").alias("s")).filter("n >= 5")
+    whole = c.agg(F.count(F.lit(1)).alias("n"), F.sum("bal").alias("s")).first()
     j = c.join(per, "c_nationkey", "left")
-    return j.select("c_custkey", F.round(F.col("bal") - F.coalesce("mean", F.lit(total)), 2).alias("above"))
+    n, s = F.coalesce("n", F.lit(whole.n)), F.coalesce("s", F.lit(whole.s or 0))
+    return j.select("c_custkey", F.floor((F.col("bal") * n - s) / n).cast("long").alias("above"))
 
 
 def daily_change(spark: SparkSession, d: str) -> DataFrame:
@@ -135,8 +137,9 @@ ORACLE = {
       SELECT e.user_id, count(*) FILTER (cursor IS NULL OR event_id > cursor) AS pending, count(*) FILTER (event_id <= cursor) AS done
       FROM events e LEFT JOIN c ON c.user_id = e.user_id GROUP BY e.user_id""",
     "settings_overlay": "SELECT user_id, event_type, arg_max((props::JSON ->> '$.k')::BIGINT, event_id) AS k FROM events GROUP BY user_id, event_type",
-    "benchmark_lookup": """WITH p AS (SELECT c_nationkey, avg(c_acctbal::DOUBLE) AS mean FROM customer GROUP BY 1 HAVING count(*) >= 5)
-      SELECT c_custkey, round(c_acctbal::DOUBLE - coalesce(mean, (SELECT avg(c_acctbal::DOUBLE) FROM customer)), 2) AS above FROM customer c LEFT JOIN p ON p.c_nationkey = c.c_nationkey""",
+    "benchmark_lookup": """WITH c AS (SELECT c_custkey, c_nationkey, round(c_acctbal::DOUBLE * 100)::BIGINT AS bal FROM customer),
+      p AS (SELECT c_nationkey, count(*) AS n, sum(bal)::BIGINT AS s FROM c GROUP BY 1 HAVING count(*) >= 5), w AS (SELECT count(*) AS n, sum(bal)::BIGINT AS s FROM c)
+      SELECT c_custkey, floor((bal * coalesce(p.n, w.n) - coalesce(p.s, w.s)) / coalesce(p.n, w.n))::BIGINT AS above FROM c LEFT JOIN p ON p.c_nationkey = c.c_nationkey CROSS JOIN w""",
     "daily_change": """WITH p AS (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT event_type, day::VARCHAR AS day, n, coalesce(floor((n - lag(n) OVER w) / lag(n) OVER w * 100 + 0.5)::BIGINT, 0) AS change FROM p WINDOW w AS (PARTITION BY event_type ORDER BY day)""",
     "event_pivot": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in ("signup", "error", "click", "view", "purchase")) + " FROM events GROUP BY user_id",
