@@ -26,4 +26,4 @@ def test_query(spark, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(c.QUERIES) == set(c.ORACLE)
+    assert set(c.QUERIES) - set(c.ORACLE) == {"vacancy_features", "vacancy_scores"}  # held to plain versions in test_scoring
