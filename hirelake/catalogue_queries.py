@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import audit, candidates, catalogue, lifecycle, scoring, vacancies
+from .operators import audit, candidates, catalogue, lifecycle, page_audit, scoring, vacancies
 
 FLAGSHIP = "rank_top"
-QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES, **candidates.QUERIES, **vacancies.QUERIES}
-ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE, **candidates.ORACLE, **vacancies.ORACLE}
+QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES, **candidates.QUERIES, **vacancies.QUERIES, **page_audit.QUERIES}
+ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE, **candidates.ORACLE, **vacancies.ORACLE, **page_audit.ORACLE}

@@ -7,6 +7,7 @@ them; everything else is built from Spark's expressions. Rows stay where they ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import reduce
 
 import pandas as pd
@@ -18,7 +19,7 @@ from .taxonomy import Taxonomy
 
 WORD = r"[\w+#]"
 NEAR, NEGATION_GAP, YEARS_NEAR = 120, 6, 90
-ENDS = ".!?\n;"
+BREAK = re.compile("[.!?\n;]")
 EXPERIENCE = re.compile("опыт|experience|commercial|коммерч|разработк|developer|engineer")
 CONCEPTS = "map<string,struct<match:double,context:double,confidence:double,mentions:int>>"
 FOUND = "struct<mentions:array<struct<concept:string,context:double>>,years:int>"
@@ -81,22 +82,24 @@ class Mentions:
         inner = [(s, e, p) for s, e, n in kept for a, p in self.parents[n] if a in text[s:e].split() or text[s:e].startswith(a + " ")]
         return sorted({*kept, *inner})
 
-    def context(self, text: str, start: int, end: int) -> float:
-        """Multiplier of the nearest modifier around the mention's sentence, 1 without any."""
+    def contexts(self, text: str, spans: list[tuple[int, int, str]]) -> list[float]:
+        """For each mention the multiplier of the nearest modifier around its sentence, 1 without any."""
         if self.modifier is None:
-            return 1.0
-        begin = max(0, max(text.rfind(c, 0, start) for c in ENDS) + 1 - NEAR)
-        stop = min((p for c in ENDS if (p := text.find(c, end)) >= 0), default=len(text))
-        best = None
-        for m in self.modifier.finditer(text[begin:stop]):
-            s, e = begin + m.start(1), begin + m.end(1)
-            name, value = self.modifier_of[m[1]]
-            if name == "NEGATED_OR_DEPRECATED" and not 0 <= start - e <= NEGATION_GAP:
-                continue
-            gap = min(abs(start - e), abs(s - end))
-            if gap <= NEAR and (best is None or (gap, s - e) < best[0]):
-                best = ((gap, s - e), value)
-        return best[1] if best else 1.0
+            return [1.0] * len(spans)
+        ends = [-1, *(m.start() for m in BREAK.finditer(text)), len(text)]
+        modifiers = [(m.start(1), m.end(1), *self.modifier_of[m[1]]) for m in self.modifier.finditer(text)]
+        starts = [m[0] for m in modifiers]
+        out = []
+        for start, end, _ in spans:
+            begin = max(0, ends[bisect_left(ends, start) - 1] + 1 - NEAR)
+            stop = ends[bisect_left(ends, end)]
+            near = []
+            for s, e, name, value in modifiers[bisect_left(starts, begin) : bisect_left(starts, stop)]:
+                gap = min(abs(start - e), abs(s - end))
+                if e <= stop and gap <= NEAR and (name != "NEGATED_OR_DEPRECATED" or 0 <= start - e <= NEGATION_GAP):
+                    near.append((gap, s - e, value))
+            out.append(min(near, key=lambda n: n[:2])[2] if near else 1.0)
+        return out
 
     def min_years(self, text: str) -> int | None:
         def relevant(m):
@@ -108,7 +111,9 @@ class Mentions:
         return max(found, default=None)
 
     def read(self, text: str) -> dict:
-        return {"mentions": [{"concept": n, "context": self.context(text, s, e)} for s, e, n in self.spans(text)], "years": self.min_years(text)}
+        spans = self.spans(text)
+        mentions = [{"concept": n, "context": c} for (_, _, n), c in zip(spans, self.contexts(text, spans), strict=True)]
+        return {"mentions": mentions, "years": self.min_years(text)}
 
 
 def found_in(text: Column, taxonomy: Taxonomy) -> Column:
@@ -152,16 +157,17 @@ def _role(title: Column, body: Column, concepts: Column, t: Taxonomy) -> Column:
     return out
 
 
-def _seniority(title: Column, body: Column, years: Column, t: Taxonomy) -> Column:
-    """Level of the longest alias in the title, else in the description, ties to the higher level; else by years."""
-    make = lambda n, c: F.struct(n.alias("level"), F.lit(c).alias("confidence"))
+def _named_level(text: Column, t: Taxonomy) -> Column:
+    """Level of the longest alias in the text, ties to the higher level; null without any."""
+    options = [F.when(phrase(text, a), F.struct(F.lit(len(a)).alias("n"), F.lit(rank).alias("r"), F.lit(level).alias("level"))) for level, rank, aliases in t.levels for a in aliases]
+    return F.array_max(F.array(*options))["level"] if options else F.lit(None).cast("string")
 
-    def best(text):
-        options = [F.when(phrase(text, a), F.struct(F.lit(len(a)).alias("n"), F.lit(rank).alias("r"), F.lit(level).alias("level"))) for level, rank, aliases in t.levels for a in aliases]
-        return F.array_max(F.array(*options))["level"] if options else F.lit(None).cast("string")
 
+def _seniority(title: Column, body: Column, years: Column) -> Column:
+    """The level named in the title, else in the description, else by years."""
+    make = lambda n, c: F.struct(n.alias("level"), F.lit(c).alias("confidence"))
     return (
-        F.when(best(title).isNotNull(), make(best(title), 1.0)).when(best(body).isNotNull(), make(best(body), 0.85))
+        F.when(title.isNotNull(), make(title, 1.0)).when(body.isNotNull(), make(body, 0.85))
         .when(years >= 5, make(F.lit("SENIOR"), 0.6)).when(years >= 3, make(F.lit("MIDDLE"), 0.55))
         .otherwise(make(F.lit("UNKNOWN"), 0.35))
     )
@@ -192,12 +198,12 @@ def extract(jobs: DataFrame, taxonomy: Taxonomy, keys: tuple[str, ...] = ("sourc
         normalize_text(F.col("title")).alias("_title"), normalize_text(F.col("description")).alias("_body"),
     )
     read = base.withColumn("_found", found_in(F.trim(F.concat("_title", F.lit("\n"), "_body")), taxonomy))
-    named = read.withColumns({"concepts": _concepts(F.col("_found.mentions"), taxonomy), "years": F.col("_found.years")})
+    named = read.withColumns({"concepts": _concepts(F.col("_found.mentions"), taxonomy), "years": F.col("_found.years"), "_tl": _named_level(F.col("_title"), taxonomy), "_bl": _named_level(F.col("_body"), taxonomy)})
     title, body = F.col("_title"), F.col("_body")
     return named.select(
         *keys, F.lit(taxonomy.version).alias("version"), "content_hash",
         _role(title, body, F.col("concepts"), taxonomy).alias("role"),
-        _seniority(title, body, F.col("years"), taxonomy).alias("seniority"),
+        _seniority(F.col("_tl"), F.col("_bl"), F.col("years")).alias("seniority"),
         "years", "concepts", _negatives(title, body, taxonomy).alias("negatives"),
     )
 

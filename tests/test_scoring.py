@@ -24,7 +24,7 @@ def test_mentions():
 @pytest.mark.parametrize("text, value", [("kafka будет плюсом", 0.5), ("kafka не обязателен", 0.15), ("мигрируем с kafka", 0.05), ("kafka", 1.0), ("без kafka", 0.0)])
 def test_context(text, value):
     at = text.index("kafka")
-    assert P.Mentions(T).context(text, at, at + 5) == value
+    assert P.Mentions(T).contexts(text, [(at, at + 5, "KAFKA")]) == [value]
 
 
 def test_extract_and_index(spark):
