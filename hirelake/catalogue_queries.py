@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import audit, candidates, catalogue, lifecycle, page_audit, resumes, scoring, vacancies
+from .operators import account, audit, candidates, catalogue, lifecycle, page_audit, resumes, scoring, vacancies
 
 FLAGSHIP = "rank_top"
-QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES, **candidates.QUERIES, **vacancies.QUERIES, **page_audit.QUERIES, **resumes.QUERIES}
-ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE, **candidates.ORACLE, **vacancies.ORACLE, **page_audit.ORACLE, **resumes.ORACLE}
+QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES, **candidates.QUERIES, **vacancies.QUERIES, **page_audit.QUERIES, **resumes.QUERIES, **account.QUERIES}
+ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE, **candidates.ORACLE, **vacancies.ORACLE, **page_audit.ORACLE, **resumes.ORACLE, **account.ORACLE}
