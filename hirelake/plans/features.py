@@ -20,6 +20,7 @@ from .taxonomy import Taxonomy
 WORD = r"[\w+#]"
 NEAR, NEGATION_GAP, YEARS_NEAR = 120, 6, 90
 BREAK = re.compile("[.!?\n;]")
+#: Words that mark years as experience.
 EXPERIENCE = re.compile("опыт|experience|commercial|коммерч|разработк|developer|engineer")
 CONCEPTS = "map<string,struct<match:double,context:double,confidence:double,mentions:int>>"
 FOUND = "struct<mentions:array<struct<concept:string,context:double>>,years:int>"
