@@ -5,7 +5,9 @@ their own full score are retrieved. Scores are divided by the item's full score,
 is block-max WAND: an item's terms of least weight that can't reach THETA together need not be looked up; postings of
 the others are in blocks of items with the block's greatest bound, and blocks and items whose bound stays below THETA
 are skipped unscored. No item at or above THETA can be lost. Retrieved items are verified: both the question part (up
-to the first question mark, else the first half) and the answer part must share enough word trigrams with the passage.
+to the first question mark, else the first half) and the answer part must share enough word trigrams with the passage. A
+part of one or two words must occur as a word sequence; so must an item of two or three words without a question mark,
+as a whole, since its halves would be single words. An item of one word is held by every passage with that word.
 
 The index holds test items only and is broadcast in shards of at most SHARD_WORDS words; each shard is one pass.
 
@@ -39,11 +41,16 @@ def terms(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _grams(tokens: list[str]) -> set[tuple[str, ...]]:
-    n = min(3, len(tokens))
+def _grams(tokens: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)} if n else set()
 
 
+def _part(tokens: list[str]) -> tuple[int, set[tuple[str, ...]]]:
+    """Words a gram, 3 or all of a shorter part, and the part's grams."""
+    n = min(3, len(tokens))
+    return n, _grams(tokens, n)
+
+
 class Index:
     """Items (id, text) of one shard, with term statistics of its own."""
 
@@ -57,7 +64,7 @@ class Index:
         self.window = max([MIN_WINDOW, *(len(x[2]) for x in kept)])
         self.weights: list[dict[str, float]] = []
         self.easy: list[float] = []
-        self.parts: list[tuple[set, set]] = []
+        self.parts: list[list[tuple[int, set]]] = []
         posts: dict[str, list[tuple[int, float]]] = {}
         for k, (_, text, words) in enumerate(kept):
             tf = Counter(words)
@@ -74,8 +81,8 @@ class Index:
                     posts.setdefault(t, []).append((k, x))
             self.easy.append(easy)
             at = text.find("?")
-            q = terms(text[: at + 1]) if at >= 0 else words[: len(words) // 2]
-            self.parts.append((_grams(q), _grams(words[len(q) :])))
+            q = terms(text[: at + 1]) if at >= 0 else words[: len(words) // 2 if len(words) > 3 else 0]
+            self.parts.append([_part(q), _part(words[len(q) :])])
         self.blocks: dict[str, list[tuple[float, list[tuple[int, float]]]]] = {}
         for t, p in posts.items():
             cutup = [p[i : i + BLOCK] for i in range(0, len(p), BLOCK)]
@@ -128,10 +135,9 @@ class Index:
             got = self.retrieve(set(part), hits)
             if not got:
                 continue
-            here = _grams(part)
+            here = {n: _grams(part, n) for n in {n for item, _ in got for n, _ in self.parts[item]}}
             for item, score in got:
-                q, a = self.parts[item]
-                if all(not g or len(g & here) >= MIN_OVERLAP * len(g) for g in (q, a)):
+                if all(not g or len(g & here[n]) >= MIN_OVERLAP * len(g) for n, g in self.parts[item]):
                     i = self.ids[item]
                     found[i] = max(found.get(i, 0.0), score)
         return passages, sorted(found.items())

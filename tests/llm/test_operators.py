@@ -157,6 +157,19 @@ def test_decontamination(spark, docs, none):
     assert decontaminate(none, bench).count() == 0 and decontaminate(d, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_short_parts(spark):
+    """Answers of one and two words, and whole items of one to five words, are found where they stand and only there."""
+    q = "What is the capital of France?"
+    items = [(1, q + " Paris"), (2, q + " New York"), (3, "Is 7 prime? yes"), (4, "Why? Because"), (5, "zig zag"), (6, "pim pam pum"), (7, "uno due tre quattro"), (8, "eins zwei drei vier funf"), (9, "solo")]
+    said = [
+        (1, f"{BASE} {q} It is Paris. {BASE}", [1]), (2, f"{q} New York", [2]), (3, f"{q} York, new", []), (4, f"{q} Lyon", []), (5, "is 7 prime: Yes", [3]),
+        (6, "why because", [4]), (7, "why not", []), (8, f"{BASE} zig zag", [5]), (9, "zag and zig", []), (10, "so pim pam pum", [6]), (11, "pum pam pim", []),
+        (12, f"uno due tre quattro {BASE}", [7]), (13, "due uno quattro tre", []), (14, "eins zwei drei vier funf", [8]), (15, "zwei eins funf vier drei", []), (16, "solo", [9]),
+    ]
+    got = {r.doc_id: r.leaked_items for r in decontaminate(make(spark, [x[:2] for x in said]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {i: leaks for i, _, leaks in said}
+
+
 def test_wand_loses_nothing():
     from hirelake.llm.decontamination import THETA, Index
 
