@@ -4,6 +4,8 @@ The lexer reads ``name = literal`` pairs of source and configuration syntax (``=
 bare), remembers constants by name, follows names and ``+`` back to the literals they stand for, and scores each
 literal by how sensitive the name is that it ends up under and by how random it looks.
 
+Literals, names and concatenations may be of any length; a constant made of others refers to them.
+
 Defined cases: a null or empty text has no spans; spans are code points, end exclusive; texts of any length are
 scanned whole, one at a time; repeated rows are scanned one by one; an empty table gives an empty table; other columns
 pass through.
@@ -34,9 +36,14 @@ SENSITIVE = {
 #: Literals that stand in for a secret.
 PLACEHOLDERS = {"changeme", "example", "none", "null", "placeholder", "redacted", "true", "false", "undefined", "your"}
 MIN_SCORE = 5.0
+#: First characters of a literal that are looked at for stand-ins.
+HEAD = 16
+_CLASSES = (lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: not (c.isascii() and c.isalnum()))
 _SEP = re.compile(r"[ \t]*(?::=|=>|[:=])[ \t]*")
-_NAME_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,80})[\"']?\]?$")
-_TERM = re.compile(r"\"((?:[^\"\\\n]|\\.){0,4096})\"|'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z_][A-Za-z0-9_.]{0,80})(?![A-Za-z0-9_.\-/+=])|([A-Za-z0-9+/_.=-]{1,4096})")
+_NAME_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-"
+#: Quoted literals and bare names, of any length; possessive, so that a match takes time in proportion to its length.
+_TERM = re.compile(r"\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z_][A-Za-z0-9_.]*+)(?![\-/+=])")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=-]++")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -58,45 +65,138 @@ def name_weight(name: str) -> float:
     return sum(SENSITIVE.get(w, 0) for w in parts)
 
 
-def literal_weight(value: str) -> float:
+class Value:
+    """A literal (its span) or a concatenation (its parts, each a Value shared by all that refer to it)."""
+
+    __slots__ = ("start", "end", "parts", "marks", "told")
+
+    def __init__(self, start: int = 0, end: int = 0, parts: tuple[Value, ...] = ()):
+        self.start, self.end, self.parts = start, end, parts
+        #: Number of each character (all scaled alike where they are huge) and the first characters, once asked for.
+        self.marks: tuple[dict[str, float], str] | None = None
+        self.told = False
+
+
+class Literals:
+    """Character counts and spans of the values of one text, those of a value computed once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.last = (0, 0, Counter())
+
+    def _leaf(self, start: int, end: int) -> tuple[dict[str, float], str]:
+        """Literals that end alike, as the values of a=b=c do, are counted from each other."""
+        at, to, counts = self.last
+        if to == end and at <= start:
+            counts = counts.copy()
+            counts.subtract(self.text[at:start])
+            counts = +counts
+        else:
+            counts = Counter(self.text[start:end])
+        self.last = (start, end, counts)
+        return counts, self.text[start : min(end, start + HEAD)]
+
+    def marks(self, value: Value) -> tuple[dict[str, float], str]:
+        todo = [value]
+        while todo:
+            v = todo[-1]
+            if v.marks is not None:
+                todo.pop()
+            elif not v.parts:
+                v.marks = self._leaf(v.start, v.end)
+            elif wanted := [p for p in v.parts if p.marks is None]:
+                todo += wanted
+            else:
+                counts: dict[str, float] = {}
+                head = ""
+                for p in v.parts:
+                    for c, n in p.marks[0].items():
+                        counts[c] = counts.get(c, 0) + n
+                    if len(head) < HEAD:
+                        head = (head + p.marks[1])[:HEAD]
+                if sum(counts.values()) > 1e100:
+                    counts = {c: n / 1e50 for c, n in counts.items()}
+                v.marks = counts, head
+        return value.marks
+
+    def weight(self, value: Value) -> float:
+        return marks_weight(*self.marks(value))
+
+    def spans(self, value: Value) -> list[tuple[int, int]]:
+        """Spans of the literals a value stands for, without those told before."""
+        out, todo = [], [value]
+        while todo:
+            v = todo.pop()
+            if v.told:
+                continue
+            v.told = True
+            todo += v.parts
+            if not v.parts and v.end > v.start:
+                out.append((v.start, v.end))
+        return out
+
+
+def marks_weight(counts: dict[str, float], head: str) -> float:
     """Length and character entropy of a literal; nothing for a stand-in."""
-    low = value.lower()
-    if len(value) < 6 or any(low.startswith(p) for p in PLACEHOLDERS) or value[:1] in "<{$" or len(set(value)) < 4:
+    n, low = sum(counts.values()), head.lower()
+    if n < 6 or any(low.startswith(p) for p in PLACEHOLDERS) or head[:1] in "<{$" or len(counts) < 4:
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values() if c / n > 0)
+    mixed = sum(any(f(c) for c in counts) for f in _CLASSES)
     return min(entropy, 4.0) / 2 + min(n, 32) / 16 + (mixed - 1) / 2
 
 
+def literal_weight(value: str) -> float:
+    return marks_weight(Counter(value), value[:HEAD])
+
+
+def _name_before(text: str, lo: int, hi: int) -> str:
+    """The name, perhaps in quotes or brackets, that ends at ``hi``; nothing before ``lo`` belongs to it."""
+    near = text[lo:hi].removesuffix("\n").removesuffix("]")
+    if near[-1:] in ("'", '"'):
+        near = near[:-1]
+    return near[len(near.rstrip(_NAME_CHARS)) :].lstrip("0123456789.-")
+
+
 def assigned_literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    known: dict[str, Value] = {}
+    held = Literals(text)
     out = set()
+    done = bare_from = bare_to = 0
     for m in _SEP.finditer(text):
-        before = _NAME_BEFORE.search(text, max(0, m.start() - 90), m.start())
-        if not before:
+        name, done = _name_before(text, done, m.start()), m.end()
+        if not name:
             continue
-        values: list[tuple[int, int, str]] = []
+        values: list[Value] = []
         at = m.end()
-        while t := _TERM.match(text, at):
-            k = t.lastindex
-            if k == 3:
-                word = t[3]
-                values += known.get(word) or known.get(word.rsplit(".", 1)[-1]) or ([(t.start(3), t.end(3), word)] if any(c.isdigit() for c in word) else [])
-            elif k:
-                values.append((t.start(k), t.end(k), t[k]))
-            at = t.end()
+        while True:
+            if t := _TERM.match(text, at):
+                k, end = t.lastindex, t.end()
+                if k != 3:
+                    values.append(Value(t.start(k), t.end(k)))
+                elif found := known.get(t[3]) or known.get(t[3].rsplit(".", 1)[-1]):
+                    values.append(found)
+                elif any(c.isdigit() for c in t[3]):
+                    values.append(Value(at, end))
+            else:
+                if not bare_from <= at < bare_to:
+                    if not (t := _BARE.match(text, at)):
+                        break
+                    bare_from, bare_to = t.span()
+                end = bare_to
+                values.append(Value(at, end))
+            at = end
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
         if not values:
             continue
-        name = before[1]
-        known[name] = known[name.rsplit(".", 1)[-1]] = values[:16]
+        value = values[0] if len(values) == 1 else Value(parts=tuple(values))
+        known[name] = known[name.rsplit(".", 1)[-1]] = value
         weight = name_weight(name)
-        if weight >= 2 and weight + literal_weight("".join(v[2] for v in values)) >= MIN_SCORE and any(literal_weight(v[2]) or len(values) > 1 for v in values):
-            out.update((s, e) for s, e, _ in values if e > s)
+        if weight >= 2 and weight + (own := held.weight(value)) >= MIN_SCORE and (own or value.parts):
+            out.update(held.spans(value))
     return sorted(out)
 
 

@@ -296,6 +296,25 @@ def test_secret_scan(spark, docs, none):
     assert secret_scan(none).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    """Literals over 4,096 characters and constants of more than 16 parts are masked whole."""
+    body = "".join(RNG.choice(list("abcXYZ0189+/"), 6000))
+    texts = [f'private_key = "{body}"', f"credentials: '{body}'", f"passphrase = {body}", f"blob = \"{body}\"\npwd = blob\n"]
+    parts = [f"q{i}Zx{i * 7919}" for i in range(40)]
+    texts.append("joined = " + " + ".join(f'"{p}"' for p in parts) + "\nprivate_key = joined\n")
+    texts.append("".join(f'c{i} = {f"c{i - 1} + " if i else ""}"{p}"\n' for i, p in enumerate(parts)) + "credential = c39\n")
+    for t in texts:
+        base, spans = scan(t)
+        left = redact(t, spans)
+        assert not any(p in left for p in parts) and not any(body[i : i + 12] in left for i in range(0, 5988, 12))
+    assert len(scan(texts[4])[1]) >= 40 and len(scan(texts[5])[1]) >= 40
+    name = "n" * 200
+    assert scan(f'{name} = "Zx9$kLm2Qw!7"\nauth_token = {name}\n')[1]
+    assert scan('a = "Zx9kLm2Qw7"\n' + "a = a + a\n" * 3000 + "password = a\n")[1][0] == (5, 3, 15)
+    got = {r.doc_id: r.redacted_text for r in secret_scan(make(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == 'private_key = "[SECRET]"' and got[2] == "passphrase = [SECRET]"
+
+
 def test_language_id(spark, none, sf_dir):
     train = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.train(train)
