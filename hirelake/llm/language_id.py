@@ -25,8 +25,6 @@ SLOTS_LOG2 = 20
 HASHES = 4
 #: An n-gram enters a language's filter above this share of the language's n-grams: at most 1 / share of them can.
 MIN_SHARE = 1e-5
-#: ... and at no less than this part of the share it has in the language where it is most frequent.
-MIN_PART = 0.2
 PIECE = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -90,9 +88,7 @@ def train(docs: DataFrame) -> dict:
         total = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(float(totals[k])))])
         number = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))])
         share = counts.select("gram", number[F.col("lang")].alias("i"), (F.col("n") / total[F.col("lang")]).alias("p"))
-        per = share.groupBy("gram").agg(F.max("p").alias("top"), F.collect_list(F.struct("i", "p")).alias("each"))
-        chosen = per.select("gram", F.filter("each", lambda x: (x["p"] >= MIN_SHARE) & (x["p"] >= MIN_PART * F.col("top"))).alias("each"))
-        bits = chosen.select("gram", F.explode("each").alias("x")).select("gram", "x.i")
+        bits = share.filter(F.col("p") >= MIN_SHARE).select("gram", "i")
 
         def place(batches):
             for b in batches:

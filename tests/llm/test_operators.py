@@ -326,3 +326,15 @@ def test_language_id(spark, none, sf_dir):
     empty = language_id.train(none)
     assert {r.lang_pred for r in language_id.predict(make(spark), empty).collect()} == {"und"}
     assert language_id.predict(none, model).count() == 0
+
+
+def test_language_shared_grams(spark):
+    """An n-gram enters the filter for every language that holds it, however much more frequent it is in another."""
+    rows = [(i, "whale " * 40 + "omega sigma", "big") for i in range(20)] + [(99, "whale " + "delta gamma " * 60, "minor")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    g = next(language_id.grams("whale"))
+    masks = model["slots"][0][language_id.slots(g, 0)]
+    for k in range(1, language_id.HASHES):
+        masks = masks & model["slots"][0][language_id.slots(g, k)]
+    assert model["langs"] == ["big", "minor"] and all(m == 3 for m in masks)
+    assert language_id.judge("delta whale", model)[0] == "minor" and language_id.judge("omega whale", model)[0] == "big"
