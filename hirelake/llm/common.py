@@ -36,16 +36,28 @@ def bind(value: Column, use) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """The application's folder in the one all executors share, ``spark.checkpoint.dir``.
+
+    Unset, it is a temporary folder in local mode and an error on a cluster, where no other folder is surely shared.
+    """
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if named:
+        return f"{named.rstrip('/')}/hirelake-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="hirelake-")
     return _OWN[app]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
@@ -56,7 +68,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that no later step reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.cut_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators wrote. Call it when their results are written."""
+    _delete(spark, shared_dir(spark))
+
+
+def row_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row") -> DataFrame:
+    """docs with a number for each row, in the order of key (null first) and then of the text's digest.
+
+    Rows equal in both are in any fixed order. The sorted table is written, so numbers never change afterwards; no
+    sort key is hot, since the place of a row in the input comes last.
+    """
+    order = [F.col(key).asc_nulls_first(), F.sha2(text, 256).asc_nulls_first(), F.col("_place")]
+    placed = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(*order).drop("_place")
+    return cut(placed.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
+def ids_clash(docs: DataFrame, key: str = "doc_id") -> bool:
+    """Whether rows share a key or lack it, so that the key can't name a row."""
+    seen = docs.groupBy(key).agg(F.count(F.lit(1)).alias("m")).filter((F.col("m") > 1) | F.col(key).isNull())
+    return bool(seen.limit(1).count())
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

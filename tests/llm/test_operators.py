@@ -220,15 +220,36 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [None, 1])
-def test_suffix_dedup(docs, none, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr("hirelake.llm.suffix_dedup.HOT", hot)
+@pytest.mark.parametrize("crowd", [None, 0])
+def test_suffix_dedup(docs, none, monkeypatch, crowd):
+    if crowd is not None:
+        monkeypatch.setattr("hirelake.llm.suffix_dedup.CROWD_BYTES", crowd)
     got = {r.doc_id: (r.n_bytes, sum(x["end"] - x["start"] for x in r.removed), bytes(r.kept)) for r in substring_dedup(docs).collect()}
     assert got == brute_repeats(TEXTS)
     assert substring_dedup(none).count() == 0
 
 
+def test_suffix_dedup_crowds(spark, monkeypatch):
+    """A passage that many texts share, with continuations that agree for a few bytes, is dealt out by longer strings."""
+    from hirelake.llm import suffix_dedup as sd
+
+    monkeypatch.setattr(sd, "CROWD_BYTES", 2000)
+    texts = [(i, f"{i * 7919 % 4}{i * 31 % 7} " + BASE[:140] + "xy"[i % 2] + "pq"[i // 2 % 2] + f"{i * 104729}") for i in range(120)]
+    got = {r.doc_id: (r.n_bytes, sum(x["end"] - x["start"] for x in r.removed), bytes(r.kept)) for r in sd.substring_dedup(make(spark, texts)).collect()}
+    assert got == brute_repeats(texts)
+
+
+def test_suffix_dedup_null_and_shared_ids(spark):
+    """Each row is a document of its own: null ids first, then by id, then by the text's digest."""
+    shared = BASE[:279]
+    rows = [(None, shared + LONG[:139]), (None, LONG[5000:5209] + shared), (1, shared + " tail of one"), (1, "head " + shared), (1, "head " + shared), (2, None), (2, LONG[5000:5150]), (None, None)]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    brute = brute_repeats([(n, t) for n, (_, t) in enumerate(ordered)])
+    want = sorted((ordered[n][0] or -1, *x) for n, x in brute.items())
+    got = substring_dedup(make(spark, rows)).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes, sum(x["end"] - x["start"] for x in r.removed), bytes(r.kept)) for r in got) == want
+
+
 def test_suffix_array():
     for _ in range(400):
         s = RNG.integers(0, RNG.choice([1, 2, 6]) + 1, RNG.integers(0, 40)).tolist()
