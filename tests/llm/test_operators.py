@@ -269,6 +269,27 @@ def test_bpe(spark, docs, none):
         assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.digests(none, path).count() == 0
+    ids = bpe.bpe_encode(d, path).select("doc_id", "ids")
+    read = {r.doc_id: r.decoded for r in bpe.bpe_decode(ids, path).collect()}
+    assert read == {i: tok.decode(tok.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t in [*TEXTS, *odd]}
+
+
+def test_decoders_and_normalizers_of_a_file():
+    """A decoder and normalizing steps come from the file; unknown kinds are errors."""
+    model = {"vocab": {"a": 0, "b</w>": 1, "Ã": 2, "©": 3}, "special": {}, "end": "</w>"}
+    ids = struct.pack("<3I", 0, 1, 0)
+    assert bpe.Decoder({**model, "decoder": None}).decode(ids) == "a b</w> a"
+    assert bpe.Decoder({**model, "decoder": {"type": "BPEDecoder", "suffix": "</w>"}}).decode(ids) == "ab a"
+    assert bpe.Decoder({**model, "decoder": {"type": "ByteLevel"}}).decode(struct.pack("<2I", 2, 3)) == "é"
+    with pytest.raises(ValueError):
+        bpe.Decoder({**model, "decoder": {"type": "Other"}})
+    steps = {"type": "Sequence", "normalizers": [{"type": "NFD"}, {"type": "Replace", "pattern": {"String": "x"}, "content": "y"}]}
+    text = "éx"
+    for f in bpe.normalizers(steps):
+        text = f(text)
+    assert text == "e\u0301y"
+    with pytest.raises(ValueError):
+        bpe.normalizers({"type": "Other"})
 
 
 def test_lm_scoring(docs, none):
