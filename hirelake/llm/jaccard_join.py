@@ -1,22 +1,26 @@
 """Exact n-gram Jaccard join by set-relation skipping, as classes and connected components.
 
 1. Every text becomes the set of 64-bit hashes of its distinct shingles; equal sets are one class from here on.
-2. Tokens are ordered by the count of their hash bucket over the whole corpus (a table of fixed size), rare first; a
-   class enters index lists with its first n - ceil(t n) + 2 tokens and their positions. Two different sets that reach t
-   (over a half) share two tokens in both prefixes, at which min(n1 - i, n2 - j) + 1 still reaches the overlap they need;
-   list entries that can't satisfy this with each other are skipped by position and size.
-3. Set relations: each list has a pivot. A class is compared exactly with one pivot (which it meets most often). Links
-   found so give first components. Only entries of a list that are in different components are paired further, and
-   those pairs are answered from the pivot's answers where they can be: with the symmetric differences d to a common
-   pivot, d1 + d2 within the bound is a link and |d1 - d2| beyond it is none. The rest is compared exactly.
-4. Components over all links.
+2. Tokens are ordered by the count of their hash bucket over the whole corpus (2 ** BUCKETS_LOG2 buckets, whatever the
+   corpus), rare first; the order decides only how long lists are. A class enters index lists with its first
+   n - ceil(t n) + 2 tokens and their positions. Two different sets that reach t (over a half) share two tokens in both
+   prefixes, at which min(n1 - i, n2 - j) + 1 still reaches the overlap they need; list entries that can't satisfy this
+   with each other are skipped by position and size.
+3. Set relations: each list has a pivot. A class is compared exactly with one pivot (which it meets most often), and the
+   tokens it has more and less than a linked pivot are kept. Links found so give first components.
+4. Only entries of a list that are in different components are paired further. A list is cut into blocks of set sizes;
+   an entry's position tells the largest set it can still link with, so it meets only the blocks it may reach. A pair's
+   answer is derived from the pivot's answers where both have one: with the symmetric differences d to a common pivot,
+   d1 + d2 within the bound is a link and |d1 - d2| beyond it is none, and from the kept differences of two sets linked
+   with it the overlap is |pivot| - |less1 u less2| + |more1 n more2| exactly. Only the rest is computed from texts.
+5. Components over all links.
 
 Groups of near copies thus cost a comparison each, not one for every pair, and no link that joins components is lost.
 
 Defined cases: a null text and a text without words have an empty set, linked with nothing, their own component; fewer
 words than a shingle: the whole sequence is the one shingle; repeated rows and equal texts share a class; component_id is
-the smallest doc_id reachable; null ids join through their class; texts of any length are used whole; an empty table
-gives an empty table; other columns pass by.
+the smallest doc_id reachable, null if none of them has an id; rows that share an id are texts of their own, each with
+its links; texts of any length are used whole; an empty table gives an empty table; other columns pass by.
 """
 
 from __future__ import annotations
@@ -28,9 +32,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, cut, lower_ascii, words
+from .common import bind, cut, discard, ids_clash, lower_ascii, row_numbers, words
 
-BUCKETS_LOG2 = 18
+BUCKETS_LOG2 = 22
+#: Buckets a row of counts on the way to the driver.
+CHUNK = 1 << 16
 
 
 def shingle_set(text: Column, k: int) -> Column:
@@ -59,13 +65,22 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
         for b in batches:
             if len(b):
                 held += np.bincount(_bucket(np.concatenate(list(b["h"]))), minlength=len(held))
-        used = np.flatnonzero(held)
-        yield pd.DataFrame({"bucket": used, "n": held[used]})
+        at = [k for k in range(0, len(held), CHUNK) if held[k : k + CHUNK].any()]
+        yield pd.DataFrame({"chunk": np.array(at, np.int64), "counts": [held[k : k + CHUNK].tobytes() for k in at]})
 
-    rows = sets.select("h").mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    def summed(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, counts in zip(b["chunk"], b["counts"]):
+                held[k] = held.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pd.DataFrame({"chunk": list(held), "counts": [x.tobytes() for x in held.values()]}).astype({"chunk": "int64"})
+
+    schema = "chunk long, counts binary"
+    told = sets.select("h").mapInPandas(run, schema).repartition("chunk").mapInPandas(summed, schema)
     out = np.zeros(1 << BUCKETS_LOG2, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+    for r in told.toLocalIterator():
+        out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _prefixes(shared, num: int, den: int):
@@ -103,46 +118,63 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
     return stars.union(edges.select("b", "b").distinct())
 
 
-def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b, ids of classes) with their exact overlap; only texts that occur in a pair are shingled again.
+def _overlaps(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, differences: bool = False) -> DataFrame:
+    """pairs (a, b, ids of classes) with their exact overlap, and with what b has more and less than a if they link; only
+    texts that occur in a pair are shingled again.
 
     Pairs and texts grow with the corpus, so all three joins are sort-merge joins at every size.
     """
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingle_set(F.col("text"), k).alias("h"))
+    c = F.col
+    needed = pairs.select(c("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = docs.join(needed.hint("merge"), "doc_id", "left_semi").select("doc_id", shingle_set(c("text"), k).alias("h"))
     sets = cut(sets, "jj-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")).hint("merge"), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("hb")).hint("merge"), "b")
-    return both.select("a", "b", F.size(F.array_intersect("ha", "hb")).cast("long").alias("overlap"))
+    left = pairs.join(sets.select(c("doc_id").alias("a"), c("h").alias("ha")).hint("merge"), "a")
+    both = left.join(sets.select(c("doc_id").alias("b"), c("h").alias("hb")).hint("merge"), "b")
+    both = both.withColumn("overlap", F.size(F.array_intersect("ha", "hb")).cast("long"))
+    linked = (num + den) * c("overlap") >= num * (F.size("ha") + F.size("hb"))
+    more = [F.when(linked, F.array_except("hb", "ha")).alias("more"), F.when(linked, F.array_except("ha", "hb")).alias("less")]
+    return both.select("a", "b", "overlap", *(more if differences else []))
 
 
 def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id of docs (doc_id, text), linking sets with overlap / union >= num / den."""
     if 2 * num <= den:
         raise ValueError("the share must be over a half")
-    sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
-    sets = docs.select("doc_id", shingle_set(F.col("text"), k).alias("h"))
-    shared = sc.broadcast(bucket_counts(sets))
+    if not ids_clash(docs):
+        return _join(docs, k, num, den)
+    docs = row_numbers(docs)
+    found = cut(_join(docs.select(F.col("row").alias("doc_id"), "text"), k, num, den), "jj-rows")
+    named = docs.select("row", F.col("doc_id").alias("name")).join(found.withColumnRenamed("doc_id", "row"), "row")
+    least = named.groupBy("component_id").agg(F.min("name").alias("least"))
+    return named.join(least, "component_id").select(F.col("name").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The same for docs whose doc_id is there and names a row."""
+    c = F.col
+    sets = docs.select("doc_id", shingle_set(c("text"), k).alias("h"))
+    shared = docs.sparkSession.sparkContext.broadcast(bucket_counts(sets))
     members = cut(sets.mapInPandas(_prefixes(shared, num, den), "doc_id long, n long, key string, prefix array<bigint>"), "jj-members")
 
-    classes = members.filter("n > 0 and doc_id is not null").groupBy("key").agg(
+    classes = members.filter("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
     classes = cut(classes, "jj-classes")
     posts = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = (
         posts.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("pos"), -F.col("n"), F.col("rep"), F.col("n"))).alias("p"))
+        .agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(c("pos"), -c("n"), c("rep"), c("n"))).alias("p"))
         .filter("m > 1")
-        .select("token", "m", F.col("p.rep").alias("p_rep"), F.col("p.n").alias("p_n"), F.col("p.pos").alias("p_pos"))
+        .select("token", c("p.rep").alias("p_rep"), c("p.n").alias("p_n"), c("p.pos").alias("p_pos"))
     )
-    lists = cut(posts.join(cut(lists, "jj-lists"), "token"), "jj-entries")
+    pivots = cut(lists, "jj-lists")
+    lists = cut(posts.join(pivots, "token"), "jj-entries")
+    discard(pivots)
 
     def may(n1, i, n2, j):
         return (num + den) * (F.least(n1 - i, n2 - j) + 1) >= num * (n1 + n2)
 
-    c = F.col
     to_pivot = (
         lists.filter((c("rep") != c("p_rep")) & may(c("n"), c("pos"), c("p_n"), c("p_pos")))
         .groupBy("rep", "p_rep", "n", "p_n")
@@ -153,45 +185,61 @@ def jaccard_join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         .select(c("rep").alias("b"), (-c("x.col2")).alias("a"), c("x.n").alias("nb"), c("x.p_n").alias("na"))
     )
     to_pivot = cut(to_pivot, "jj-pivots")
-    answers = to_pivot.join(_overlaps(to_pivot.select("a", "b"), docs, k), ["a", "b"])
-    linked = (num + den) * c("overlap") >= num * (c("na") + c("nb"))
-    answers = cut(
-        answers.select("a", "b", (c("na") + c("nb") - 2 * c("overlap")).alias("d"), linked.alias("linked")), "jj-answers"
-    )
-    links = answers.filter("linked").select("a", "b")
+    answers = to_pivot.join(_overlaps(to_pivot.select("a", "b"), docs, k, num, den, True), ["a", "b"])
+    answers = cut(answers.select("a", "b", "na", (c("na") + c("nb") - 2 * c("overlap")).alias("d"), "more", "less"), "jj-answers")
+    discard(to_pivot)
+    links = answers.filter("more is not null").select("a", "b")
     first = cut(components(links, "jj-first"), "jj-first-done")
 
-    known = answers.select(c("b").alias("rep"), c("a").alias("q"), "d").union(
-        answers.select(c("a").alias("rep"), c("a").alias("q"), F.lit(0).cast("long").alias("d")).distinct()
+    nothing = F.array().cast("array<bigint>")
+    known = answers.select(c("b").alias("rep"), c("a").alias("q"), c("na").alias("nq"), "d", "more", "less").union(
+        answers.select(c("a").alias("rep"), c("a").alias("q"), c("na").alias("nq"), F.lit(0).cast("long").alias("d"), nothing, nothing).distinct()
     )
-    known = known.groupBy("rep").agg(F.min(F.struct("d", "q")).alias("z")).select("rep", c("z.q").alias("q"), c("z.d").alias("d"))
+    known = cut(known.groupBy("rep").agg(F.min(F.struct("d", "q", "nq", "more", "less")).alias("z")).select("rep", "z.*"), "jj-known")
     comp = first.select(c("id").alias("rep"), "component")
     p_comp = first.select(c("id").alias("p_rep"), c("component").alias("p_component"))
+    told = known.select("rep", "q", "d", c("more").isNotNull().alias("near"))
     entries = (
-        lists.join(comp, "rep", "left").join(p_comp, "p_rep", "left").join(known, "rep", "left")
-        .select("token", "rep", "n", "pos", "q", "d", F.coalesce("component", "rep").alias("comp"), F.coalesce("p_component", "p_rep").alias("major"))
+        lists.join(comp, "rep", "left").join(p_comp, "p_rep", "left").join(told, "rep", "left")
+        .select("token", "rep", "n", "pos", "q", "d", "near", F.coalesce("component", "rep").alias("comp"), F.coalesce("p_component", "p_rep").alias("major"))
     )
     entries = cut(entries.withColumn("minor", c("comp") != c("major")), "jj-relations")
-    x = entries.select("token", *[c(n).alias(f"x_{n}") for n in ("rep", "n", "pos", "q", "d", "comp", "minor")])
-    y = entries.filter("minor").select("token", *[c(n).alias(f"y_{n}") for n in ("rep", "n", "pos", "q", "d", "comp")])
+    discard(lists)
+
+    def size_block(n):
+        return F.floor(2 * F.log(n.cast("double")) / float(np.log(den / num))).cast("int")
+
+    reach = F.least(F.floor((num + den) * (c("n") - c("pos") + 1) / num) - c("n"), F.floor(c("n") * den / num))
+    lowest = F.ceil(c("n") * num / den)
+    blocks = F.when(reach >= lowest, F.sequence(size_block(lowest), size_block(reach)))
+    columns = ("rep", "n", "pos", "q", "d", "near", "comp")
+    x = entries.select("token", size_block(c("n")).alias("block"), c("minor").alias("x_minor"), *[c(n).alias(f"x_{n}") for n in columns])
+    y = entries.filter("minor").select("token", F.explode(blocks).alias("block"), *[c(n).alias(f"y_{n}") for n in columns])
     bound = num * (c("x_n") + c("y_n"))
-    same = c("x_q") == c("y_q")
-    sure = F.coalesce(same & ((num + den) * (c("x_n") + c("y_n") - c("x_d") - c("y_d")) >= 2 * bound), F.lit(False))
-    never = F.coalesce(same & ((num + den) * (c("x_n") + c("y_n") - F.abs(c("x_d") - c("y_d"))) < 2 * bound), F.lit(False))
-    more = (
-        x.join(y, "token")
+    same = F.coalesce(c("x_q") == c("y_q"), F.lit(False))
+    sure = same & ((num + den) * (c("x_n") + c("y_n") - c("x_d") - c("y_d")) >= 2 * bound)
+    never = same & ((num + den) * (c("x_n") + c("y_n") - F.abs(c("x_d") - c("y_d"))) < 2 * bound)
+    how = F.when(sure, "sure").when(same & c("x_near") & c("y_near"), "derive").otherwise("texts")
+    open_ = (
+        x.join(y, ["token", "block"])
         .filter((c("x_comp") != c("y_comp")) & (~c("x_minor") | (c("x_rep") < c("y_rep"))))
         .filter(may(c("x_n"), c("x_pos"), c("y_n"), c("y_pos")) & ~never)
-        .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), (c("x_n") + c("y_n")).alias("ns"), sure.alias("sure"))
-        .groupBy("a", "b", "ns", "sure")
+        .select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b"), (c("x_n") + c("y_n")).alias("ns"), how.alias("how"))
+        .groupBy("a", "b", "ns", "how")
         .agg(F.count(F.lit(1)).alias("m"))
         .filter("m > 1")
-        .select("a", "b", "ns", "sure")
+        .select("a", "b", "ns", "how")
     )
-    more = cut(more, "jj-open")
-    asked = more.filter("not sure")
-    got = asked.join(_overlaps(asked.select("a", "b"), docs, k), ["a", "b"]).filter((num + den) * c("overlap") >= num * c("ns"))
-    rest = cut(more.filter("sure").select("a", "b").union(got.select("a", "b")), "jj-late-links")
+    open_ = cut(open_, "jj-open")
+    discard(entries)
+    linked = (num + den) * c("overlap") >= num * c("ns")
+    asked = open_.filter("how = 'texts'")
+    got = asked.join(_overlaps(asked.select("a", "b"), docs, k, num, den), ["a", "b"]).filter(linked)
+    side = lambda i: known.select(c("rep").alias(i), "nq", c("more").alias(f"more_{i}"), c("less").alias(f"less_{i}")).hint("merge")
+    overlap = c("nq") - F.size(F.array_union("less_a", "less_b")) + F.size(F.array_intersect("more_a", "more_b"))
+    derived = open_.filter("how = 'derive'").join(side("a"), "a").join(side("b").drop("nq"), "b").withColumn("overlap", overlap).filter(linked)
+    rest = open_.filter("how = 'sure'").select("a", "b").union(got.select("a", "b")).union(derived.select("a", "b"))
+    rest = cut(rest, "jj-late-links")
     final = first
     if rest.limit(1).count():
         final = components(links.union(rest), "jj-final")

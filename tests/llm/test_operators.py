@@ -147,6 +147,16 @@ def test_jaccard_null_ids_and_repeats(spark):
     assert len(got) == 4 and {r.component_id for r in got} == {2}
 
 
+def test_jaccard_shared_ids(spark):
+    """Each row keeps its own text's links, whatever other text shares its id; nothing depends on the order of rows."""
+    other = " ".join(VOCAB[:120])
+    rows = [(1, BASE), (1, other), (2, other.replace(VOCAB[60], "changed", 1)), (None, LONG), (5, None), (5, ""), (7, LONG + " x")]
+    want = sorted([(1, 1, BASE), (1, 1, other), (2, 1, "n"), (-1, 7, "l"), (5, 5, ""), (5, 5, "")][i][:2] for i in range(6)) + [(7, 7)]
+    for order in (rows, rows[::-1]):
+        got = jaccard_join(make(spark, order), 3, 90, 100).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in got) == want
+
+
 def test_decontamination(spark, docs, none):
     item = " ".join(VOCAB[100:130])
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, "lonely words of another kind entirely so")], "item_id long, text string")
