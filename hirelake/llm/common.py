@@ -85,13 +85,15 @@ def clean(spark: SparkSession) -> None:
 
 
 def row_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str = "row") -> DataFrame:
-    """docs with a number for each row, in the order of key (null first) and then of the text's digest.
+    """docs with a number for each row, in the order of key (null first), the text's digest and the other columns' hash.
 
-    Rows equal in both are in any fixed order. The sorted table is written, so numbers never change afterwards; no
-    sort key is hot, since the place of a row in the input comes last.
+    The sorted table is written, so numbers never change afterwards; no sort key is hot, since the place of a row in the
+    input comes last and parts only rows that are equal throughout.
     """
-    order = [F.col(key).asc_nulls_first(), F.sha2(text, 256).asc_nulls_first(), F.col("_place")]
-    placed = docs.withColumn("_place", F.monotonically_increasing_id()).orderBy(*order).drop("_place")
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}))
+    place = unused(docs, "place")
+    order = [F.col(key).asc_nulls_first(), F.sha2(text, 256).asc_nulls_first(), others, F.col(place)]
+    placed = docs.withColumn(place, F.monotonically_increasing_id()).orderBy(*order).drop(place)
     return cut(placed.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
@@ -101,6 +103,14 @@ def ids_clash(docs: DataFrame, key: str = "doc_id") -> bool:
     return bool(seen.limit(1).count())
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem = "_" + stem
+    return stem
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just these columns: whatever else the table carries can't clash with working names."""
     return df.select(*columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, words
+from .common import bind, unused, words
 
 #: Phrases of page furniture, looked for in lower-cased lines of at most BOILERPLATE_WORDS words.
 BOILERPLATE = (
@@ -101,19 +101,20 @@ def line_fails(line: Column) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, cleaned_text, lost_chars, kept."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_w", words(F.col(text))).withColumn("_l", F.split(t, "\n"))
+    w, l = unused(docs, "tokens"), unused(docs, "lines")
+    df = docs.withColumn(w, words(F.col(text))).withColumn(l, F.split(t, "\n"))
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    dup_lines = bind(F.filter(F.col("_l"), has_word), lambda l: F.size(l) - F.size(F.array_distinct(l)))
+    dup_lines = bind(F.filter(F.col(l), has_word), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     df = df.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": _count_of(t, SYMBOLS).cast("long"),
             "n_dup_lines": dup_lines.cast("long"),
-            "n_repeat_words": repeat_words(F.col("_w")),
-            "cleaned_text": F.array_join(F.filter(F.col("_l"), lambda l: ~has_word(l) | ~line_fails(l)), "\n"),
+            "n_repeat_words": repeat_words(F.col(w)),
+            "cleaned_text": F.array_join(F.filter(F.col(l), lambda x: ~has_word(x) | ~line_fails(x)), "\n"),
         }
-    ).drop("_w", "_l")
+    ).drop(w, l)
     lost = (F.length(t) - F.length("cleaned_text")).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
