@@ -1,17 +1,16 @@
 """Corpus pipeline: quality rules, near-duplicate removal, decontamination, secret redaction, tokenisation.
 
-Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept. Rows without a doc_id pass the
-near-duplicate stage, since a group can't name them; otherwise each operator's docstring defines the odd cases.
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept. Each operator's docstring defines
+the odd cases. A stage's table is deleted when the next one is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hirelake.llm import bpe
-from hirelake.llm.common import cut, table
+from hirelake.llm.common import cut, discard, ids_clash, row_numbers, table
 from hirelake.llm.decontamination import decontaminate
 from hirelake.llm.jaccard_join import jaccard_join
 from hirelake.llm.quality_rules import quality_rules
@@ -42,37 +41,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _named(quality_rules(_bare(docs)).filter("kept"), docs, "cleaned_text")
 
 
-def _row_numbers(docs: DataFrame) -> DataFrame:
-    """docs with ``_row``: one number for each (doc_id, text), in the order of doc_id and then of the text's digest."""
-    marked = docs.withColumn("_mark", _mark())
-    pairs = marked.select("doc_id", "_mark").distinct().orderBy("doc_id", "_mark")
-    schema = T.StructType([*pairs.schema.fields, T.StructField("_row", T.LongType())])
-    numbers = docs.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
-    return cut(marked.join(numbers, ["doc_id", "_mark"]).drop("_mark"), "pipeline-rows")
-
-
-def _mark() -> Column:
-    return F.coalesce(F.sha2("text", 256), F.lit(""))
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 the document with the smallest id stays.
 
-    Rows that share an id are one document only if they share the text as well; of those the row that is least in the
-    other columns' order stays. Rows that share an id and not the text are documents of their own, the one whose text
-    has the smaller SHA-256 counting as the smaller id.
+    Rows without an id count as the smallest, and rows that share an id are documents of their own, the one whose text
+    has the smaller SHA-256 counting as the smaller; of rows that share both one, any, stays.
     """
     shown, docs = docs.columns, _bare(docs)
     docs = docs.withColumnRenamed(f"c{shown.index('doc_id')}", "doc_id")
-    named = docs.filter("doc_id is not null")
-    clashes = named.groupBy("doc_id").agg(F.min(_mark()).alias("a"), F.max(_mark()).alias("b")).filter("a <> b")
-    row = "_row" if clashes.limit(1).count() else "doc_id"
-    if row == "_row":
-        named = _row_numbers(named)
-    found = jaccard_join(named.select(F.col(row).alias("doc_id"), "text"), k=5, num=80, den=100)
+    row = "row" if ids_clash(docs) else "doc_id"
+    if row == "row":
+        docs = row_numbers(docs)
+    found = jaccard_join(docs.select(F.col(row).alias("doc_id"), "text"), k=5, num=80, den=100)
     first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(row))
-    stays = named.join(first, row, "left_semi").groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return stays.union(docs.filter("doc_id is null")).toDF(*shown)
+    return docs.join(first, row, "left_semi").select([n for n in docs.columns if n != "row"]).toDF(*shown)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,7 +87,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):
             docs = cut(docs, f"pipeline-{name}")
+            if number:
+                discard(before)
     return docs
