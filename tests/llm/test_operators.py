@@ -180,15 +180,48 @@ def test_decontamination_short_parts(spark):
     assert got == {i: leaks for i, _, leaks in said}
 
 
-def test_wand_loses_nothing():
-    from hirelake.llm.decontamination import THETA, Index
-
-    index = Index([(i, " ".join(RNG.choice(VOCAB[:60], 12))) for i in range(80)])
-    for _ in range(200):
-        present = set(RNG.choice(VOCAB[:60], 14))
-        hits = {t for t in present if t in index.blocks}
-        plain = {k for k, w in enumerate(index.weights) if sum(x for t, x in w.items() if t in present) >= THETA - 1e-9}
-        assert {k for k, _ in index.retrieve(present, hits)} == plain
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_wand_loses_nothing(monkeypatch, block):
+    from hirelake.llm import decontamination as dc
+
+    monkeypatch.setattr(dc, "BLOCK", block)
+    index = dc.Index([(i, " ".join(RNG.choice(VOCAB[:60], RNG.integers(2, 16)))) for i in range(300)])
+    found = 0
+    for _ in range(300):
+        present = set(RNG.choice(VOCAB[:60], RNG.integers(1, 25)))
+        plain = {k for k, w in enumerate(index.weights) if sum(x for t, x in w.items() if t in present) >= dc.THETA - 1e-9}
+        assert {k for k, _ in index.retrieve(present, {t for t in present if t in index.posts})} == plain
+        found += len(plain)
+    assert found > 100
+
+
+def test_decontamination_brute_force_and_shards(spark, docs, monkeypatch):
+    """Every window against every item, plainly; more shards change nothing; null and repeated items and ids."""
+    from hirelake.llm import decontamination as dc
+
+    texts = [" ".join(RNG.choice(VOCAB, RNG.integers(1, 30))) + ("? " + " ".join(RNG.choice(VOCAB, 2)) if i % 2 else "") for i in range(60)]
+    items = [*enumerate(texts), (7, texts[7]), (None, texts[9]), (200, None), (201, "")]
+    said = [(i, " ".join([*RNG.choice(VOCAB, RNG.integers(0, 300)), *texts[i % 60].split()[: RNG.integers(1, 40)], *RNG.choice(VOCAB, RNG.integers(0, 300))])) for i in range(200)]
+    said += [(None, texts[3]), (None, texts[3]), (5, None)]
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), make(spark, said)
+    index = dc.Index(items)
+
+    def leaks(text):
+        words, found = dc.terms(text), set()
+        for at in range(0, max(1, len(words) - index.window), index.window):
+            part = words[at : at + 2 * index.window]
+            here = {n: {tuple(part[i : i + n]) for i in range(len(part) - n + 1)} for n in (1, 2, 3)}
+            for k, (weights, parts) in enumerate(zip(index.weights, index.parts)):
+                if sum(w for t, w in weights.items() if (t,) in here[1]) >= dc.THETA - 1e-9 and all(not g or 2 * len(g & here[n]) >= len(g) for n, g in parts):
+                    found.add(index.ids[k])
+        return sorted(found)
+
+    want = sorted((str(i), leaks(t)) for i, t in said)
+    assert sum(bool(x) for _, x in want) > 20
+    for words in (2_000_000, 150):
+        monkeypatch.setattr(dc, "SHARD_WORDS", words)
+        got = decontaminate(d, bench).collect()
+        assert sorted((str(r.doc_id), r.leaked_items) for r in got) == want and all(r.contaminated == bool(r.leaked_items) for r in got)
 
 
 def test_template():
