@@ -6,6 +6,8 @@ from . import quality_rules as q
 from . import url_filters as u
 from .chat_formatting import END, SAYS, TURN
 
+#: Rounds of wildcards that the SQL unrolls; the operator goes on while new ones appear.
+URL_ROUNDS = 3
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -42,30 +44,38 @@ def url_sql() -> str:
         fits = f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
         rule.append(f"{fits} THEN '{text}'")
         said.append(f"{fits} THEN '{verdict}'")
-    steps, last = [], "t0"
-    for d in range(u.STAT_DEPTHS):
-        parent = f"tmpl[1:{d}]" if d else "[]::VARCHAR[]"
-        steps.append(
-            f"""k{d} AS (SELECT host, parent, count(*) AS kinds, sum(n) AS total FROM (SELECT host, {parent} AS parent, tmpl[{d + 1}] AS child, sum(n) AS n FROM {last}
-              WHERE len(tmpl) > {d} GROUP BY ALL) GROUP BY host, parent HAVING kinds >= {u.MIN_CHILDREN} AND kinds >= {u.MIN_NEW_SHARE} * total),
-            t{d + 1} AS (SELECT a.host, lex, n, labelled, blocked, CASE WHEN k.kinds IS NOT NULL THEN list_concat(list_concat({parent.replace('tmpl', 'a.tmpl')}, ['*']), a.tmpl[{d + 2}:]) ELSE a.tmpl END AS tmpl
-              FROM {last} a LEFT JOIN k{d} k ON a.host = k.host AND len(a.tmpl) > {d} AND {parent.replace('tmpl', 'a.tmpl')} = k.parent)"""
-        )
-        last = f"t{d + 1}"
+    steps = [
+        f"""p{d} AS (SELECT host, lex, pos, tmpl[pos] AS segment, array_to_string(tmpl[1:pos - 1], '/') AS parent FROM t{d}, unnest(range(1, len(tmpl) + 1)) AS r(pos)),
+        w{d} AS (SELECT host, parent, pos FROM p{d} WHERE segment <> '*' GROUP BY ALL HAVING count(DISTINCT segment) >= {u.MIN_CHILDREN}),
+        x{d} AS (SELECT p.host, p.lex, list(CASE WHEN w.pos IS NOT NULL THEN '*' ELSE segment END ORDER BY p.pos) AS tmpl
+          FROM p{d} p LEFT JOIN w{d} w ON p.host = w.host AND p.parent = w.parent AND p.pos = w.pos GROUP BY p.host, p.lex),
+        t{d + 1} AS (SELECT t.host, t.lex, labelled, blocked, coalesce(x.tmpl, t.tmpl) AS tmpl FROM t{d} t LEFT JOIN x{d} x ON t.host = x.host AND t.lex = x.lex)"""
+        for d in range(URL_ROUNDS)
+    ]
+    last = f"t{URL_ROUNDS}"
     segment = f"""CASE WHEN regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{{x}}' WHEN length(s) > {u.LONG_SEGMENT} THEN '{{s}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END"""
+    d = u.MAX_DEPTH
+    folded = f"CASE WHEN len(segs) > {d} THEN list_concat(segs[1:{d - 1}], [array_to_string(segs[{d}:], '/')]) ELSE segs END"
+    rate, up = "(n.b / n.l)", "(o.b / o.l)"
     return f"""WITH r AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages),
-    b AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
-    j AS (SELECT *, CASE {' '.join(rule)} END AS rule, CASE {' '.join(said)} END AS said,
-      list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {segment}) AS lex FROM b),
-    t0 AS (SELECT host, lex, count(*) AS n, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, lex AS tmpl FROM j GROUP BY host, lex),
+    h AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    b AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM h),
+    j AS (SELECT page_id, host, path, CASE {' '.join(rule)} END AS rule, CASE {' '.join(said)} END AS said, list_transform({folded}, lambda s: {segment}) AS lex FROM b),
+    t0 AS (SELECT host, lex, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, lex AS tmpl FROM j GROUP BY host, lex),
     {', '.join(steps)},
-    n AS (SELECT host, tmpl, CASE WHEN len(tmpl) > 1 THEN tmpl[1:len(tmpl) - 1] ELSE []::VARCHAR[] END AS up, sum(labelled) AS labelled, sum(blocked) AS blocked FROM {last} GROUP BY host, tmpl),
-    m AS (SELECT *, sum(labelled) OVER w AS ul, sum(blocked) OVER w AS ub FROM n WINDOW w AS (PARTITION BY host, up)),
-    g AS (SELECT *, labelled > 0 AND abs(blocked / labelled - ub / ul) <= {u.Z} * sqrt((ub / ul) * (1 - ub / ul) / labelled) + 1e-12 AS merged FROM m),
-    p AS (SELECT *, CASE WHEN merged THEN sum(labelled) OVER w ELSE labelled END AS sl, CASE WHEN merged THEN sum(blocked) OVER w ELSE blocked END AS sb FROM g WINDOW w AS (PARTITION BY host, up, merged))
-    SELECT page_id, j.host, j.path, rule, coalesce(said, CASE WHEN sl > 0 AND (sb + 1) / (sl + 2) >= {u.MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
-      '/' || array_to_string(x.tmpl, '/') AS template, (sb + 1) / (sl + 2) AS purity
-    FROM j JOIN {last} x ON j.host = x.host AND j.lex = x.lex JOIN p ON p.host = x.host AND p.tmpl = x.tmpl"""
+    m AS (SELECT host, tmpl, sum(labelled) AS labelled, sum(blocked) AS blocked FROM {last} GROUP BY host, tmpl),
+    n AS (SELECT host, depth, array_to_string(tmpl[1:depth], '/') AS path, array_to_string(tmpl[1:greatest(depth - 1, 0)], '/') AS parent, sum(labelled) AS l, sum(blocked) AS b
+      FROM m, unnest(range(0, len(tmpl) + 1)) AS r(depth) WHERE labelled > 0 GROUP BY ALL),
+    s AS (SELECT n.*, coalesce(abs({rate} - {up}) <= {u.Z} * sqrt({up} * (1 - {up}) / n.l) + 1e-12, false) AS merged
+      FROM n LEFT JOIN n o ON n.host = o.host AND n.depth = o.depth + 1 AND n.parent = o.path),
+    g AS (SELECT host, depth, path, CASE WHEN merged THEN sum(l) OVER w ELSE l END AS l, CASE WHEN merged THEN sum(b) OVER w ELSE b END AS b FROM s WINDOW w AS (PARTITION BY host, depth, parent, merged)),
+    c AS (SELECT m.host, m.tmpl, list({{'l': g.l::DOUBLE, 'b': g.b::DOUBLE, 'p': 0.0::DOUBLE}} ORDER BY g.depth) AS chain
+      FROM m, unnest(range(0, len(m.tmpl) + 1)) AS r(depth) JOIN g ON g.host = m.host AND g.depth = r.depth AND g.path = array_to_string(m.tmpl[1:r.depth], '/') GROUP BY m.host, m.tmpl),
+    q AS (SELECT host, tmpl, list_reduce(list_prepend({{'l': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'p': {u.PRIOR}::DOUBLE}}, chain),
+      lambda a, x: {{'l': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'p': (x.b + {u.WEIGHT}::DOUBLE * a.p) / (x.l + {u.WEIGHT}::DOUBLE)}}).p AS purity FROM c)
+    SELECT page_id, j.host, j.path, rule, coalesce(said, CASE WHEN coalesce(purity, {u.PRIOR}) >= {u.MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+      '/' || array_to_string(x.tmpl, '/') AS template, coalesce(purity, {u.PRIOR}::DOUBLE) AS purity
+    FROM j JOIN {last} x ON j.host = x.host AND j.lex = x.lex LEFT JOIN q ON q.host = x.host AND q.tmpl = x.tmpl"""
 
 
 def chat_sql() -> str:

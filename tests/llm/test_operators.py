@@ -100,6 +100,27 @@ def test_url_templates_learn(spark):
     assert got["http://x.com/t/30"] == "block" and got["http://x.com/u/30"] == "allow"
 
 
+def test_url_templates_by_hand(spark):
+    """Wildcards far below the root, back-off to labelled ancestors, very long, null and repeated urls: a plain version."""
+    from hirelake.llm import url_filters as uf
+
+    rules = (("block", "x.com/a/"), ("allow", "x.com/b/"), ("block", "y.com/q/w"))
+    names = [f"{chr(97 + i)}{chr(105 + i)}" for i in range(12)]
+    urls = [f"http://x.com/a/b/c/d/{n}/tail" for n in names] + [f"http://x.com/z/b/c/d/{n}" for n in names[:5]] + ["http://x.com/b/1", "http://x.com/b/2", "http://x.com/none"]
+    urls += ["http://y.com/q/w", "http://y.com/q/w", "http://y.com/q/w/e", "http://y.com/q/r/t", "http://y.com/u", None, None, "http://z.com/" + "s/" * 3000, "http://z.com/" + "long" * 5000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filters(pages, rules).collect()}
+    assert len(got) == len(urls) and {got[i].template for i in range(12)} == {"/a/b/c/d/*/tail"}
+    assert got[12].template == "/z/b/c/d/ai" and got[20].verdict == "block"
+    root = (12 + 2 * 0.5) / (14 + 2)
+    assert math.isclose(got[19].purity, root) and math.isclose(got[12].purity, root) and got[12].verdict == "block"
+    host = (3 + 1) / (3 + 2)
+    q = (3 + 2 * host) / (3 + 2)
+    assert math.isclose(got[23].purity, q) and got[23].verdict == "block"
+    assert got[25].template == got[26].template == "/" and got[27].template.count("/") == uf.MAX_DEPTH and got[28].template == "/{s}"
+    assert {r.verdict for i, r in got.items() if i >= 25} == {"allow"}
+
+
 def brute_groups(texts, k, num, den):
     sets, up = {}, {}
     for i, t in texts:
