@@ -374,6 +374,55 @@ def test_lm_scoring(docs, none):
     assert alone.train_tokens == 0 and alone.n_known == 0
 
 
+def test_lm_contexts_cross_words():
+    """The bytes before a token, by a plain version."""
+    from hirelake.llm import lm_scoring as lm
+
+    texts = ["a bc d efghij k", "", None, "x", "é ü abc", "a a a a a a a"]
+    reader = lm.Reader({"words": {"a": 0}, "classes": {}, "mass": np.ones(2)})
+    _, _, _, of, packed, _ = reader.read(texts)
+    want = [" ".join(w.decode() for w in t[:i]).encode()[-lm.DEPTH :] for t in map(lm.tokens, texts) for i in range(len(t))]
+    got = [int(p & ((1 << 8 * lm.DEPTH) - 1)).to_bytes(lm.DEPTH, "big")[lm.DEPTH - int(p >> 8 * lm.DEPTH) :] for p in packed.tolist()]
+    assert got == want and of.tolist() == [k for k, t in enumerate(texts) for _ in lm.tokens(t)]
+
+
+def test_lm_rows_and_plain_scores(spark):
+    """A row for each input row, whatever its id; scores by a plain walk over the tree; rare and frequent words alike."""
+    from hirelake.llm import lm_scoring as lm
+
+    words = [f"w{i}" for i in range(3000)]
+    texts = [(i % 7 if i % 3 else None, " ".join(RNG.choice(VOCAB[:20], 40)) + " " + " ".join(RNG.choice(words, 40))) for i in range(60)]
+    docs = make(spark, texts)
+    got = lm_scores(docs, docs).collect()
+    counts = lm.word_counts(docs).cache()
+    total, kinds = counts.selectExpr("sum(n)", "count(1)").first()
+    c = {r.word: r.n for r in counts.collect()}
+    model = lm.symbols(counts, total, kinds)
+    model["tree"] = tree = lm.learn_tree(docs, model, total)
+    assert len(tree["contexts"]) > 20 and max(int(x) >> 8 * lm.DEPTH for x in tree["contexts"]) == lm.DEPTH
+    reader, flat = lm.Reader(model), np.log10(model["mass"])
+    steps, rests = dict(zip(tree["steps"].tolist(), tree["logp"])), dict(zip(tree["contexts"].tolist(), tree["rest"]))
+
+    def plain(text):
+        toks, out = lm.tokens(text), 0.0
+        for i, w in enumerate(toks):
+            sym = int(reader._code(w)) & ((1 << lm.SYMBOL_BITS) - 1)
+            before = b" ".join(toks[:i])[-lm.DEPTH :]
+            out += math.log10((c[w.decode()] + 0.5) / (total + 0.5 * (kinds + 1)))
+            for d in range(len(before), 0, -1):
+                ctx = d << 8 * lm.DEPTH | int.from_bytes(before[-d:], "big")
+                if ctx in rests:
+                    if (step := ctx << lm.SYMBOL_BITS | sym) in steps:
+                        out += steps[step] - flat[sym]
+                        break
+                    out += rests[ctx]
+        return out
+
+    assert len(got) == 60
+    key = lambda x: (x[0] if x[0] is not None else -1, round(x[1], 6))
+    assert sorted(((r.doc_id, r.score) for r in got), key=key) == [(i, pytest.approx(s)) for i, s in sorted(((i, plain(t)) for i, t in texts), key=key)]
+
+
 def test_lm_distribution_sums_to_one(docs):
     from hirelake.llm import lm_scoring as lm
 
