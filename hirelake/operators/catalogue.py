@@ -9,6 +9,8 @@ from ..functions import text as X
 from ..sources.tables import jobs, table
 
 INCLUDE, EXCLUDE, PREFIXES = ("the ", "de ", "der "), ("stupid", "idiot"), ("of", "is")
+#: Parts of a location that shut a job out.
+ABROAD = ("es",)
 #: Ordered category and industry rules over lower-cased text.
 CATEGORIES = (("ation|tion", "Backend"), ("und|ung", "Data"), ("eau|eux", "Frontend"), ("ción|mente", "QA"))
 INDUSTRIES = (("src0$", "Aggregator"), ("src[1-9]$", "Product"), ("src1", "Agency"))
@@ -32,9 +34,10 @@ def include_exclude(spark: SparkSession, d: str) -> DataFrame:
     j = jobs(spark, d)
     prefixed = F.lit(False)
     for p in PREFIXES:
-        prefixed = prefixed | (F.lower("title") == p) | F.lower("title").startswith(p + " ")
+        prefixed = prefixed | (F.lower("title") == p) | F.lower("title").startswith(p + " (")
     kept = X.any_contains(F.col("title"), INCLUDE) & ~X.any_contains(F.col("title"), EXCLUDE) & ~prefixed
-    return j.filter(kept & ~F.col("location").isin("es")).select("external_id", "company", "location")
+    abroad = F.exists(F.array(*map(F.lit, ABROAD)), lambda p: F.contains(F.lower("location"), p))
+    return j.filter(kept & ~abroad).select("external_id", "company", "location")
 
 
 def classified(spark: SparkSession, d: str) -> DataFrame:
@@ -140,8 +143,8 @@ ORACLE = {
     + ") AND NOT ("
     + " OR ".join(f"contains(lower(title), '{w}')" for w in EXCLUDE)
     + ") AND NOT ("
-    + " OR ".join(f"lower(title) = '{p}' OR starts_with(lower(title), '{p} ')" for p in PREFIXES)
-    + ") AND location <> 'es'",
+    + " OR ".join(f"lower(title) = '{p}' OR starts_with(lower(title), '{p} (')" for p in PREFIXES)
+    + ") AND NOT (" + " OR ".join(f"contains(lower(location), '{p}')" for p in ABROAD) + ")",
     "catalog_job_classes": f"WITH {CLASSED} SELECT external_id, category, industry, array_to_string(technologies, ',') AS technologies FROM classed",
     "catalog_facet_page": f"""WITH {CLASSED} SELECT external_id, company, length(description)::INTEGER AS score FROM classed
       WHERE active AND NOT stale AND category = 'Backend' AND list_contains(technologies, 'tion')

@@ -78,32 +78,63 @@ def security_headers(headers: Column, https: Column) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in weak]), lambda n: n.isNotNull())
 
 
+def robots_groups(text: Column) -> Column:
+    """The groups of a robots file: arrays of (field, value) in lower case, each from its first agent to the next group's."""
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "(?m)#.*$", "")
+    # A group begins at an agent line that doesn't follow another agent line.
+    parts = F.split(F.concat(F.lit("\n"), clean), r"(?m)\n(?=[ \t]*user-agent[ \t]*:)")
+    pairs = lambda part: F.transform(
+        F.filter(F.split(part, "\r?\n"), lambda x: x.rlike("^[ \t]*[a-z-]+[ \t]*:")),
+        lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("field"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")),
+    )
+    return F.transform(parts, pairs)
+
+
 def robots_block_all(text: Column) -> Column:
-    """Whether a robots file closes the whole site to all crawlers: a fold over its lines by groups of agents."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*", "")))
-    start = F.struct(F.lit(False).alias("all"), F.lit(False).alias("body"), F.lit(False).alias("shut"), F.lit(False).alias("found"))
+    """Whether a robots file closes the whole site to all crawlers: a group for * disallows /."""
+    groups = robots_groups(text)
+    is_agent = lambda p: p["field"] == "user-agent"
+    # Agents listed one below the other share the rules after the last of them.
+    def closed(part, at):
+        later = F.slice(groups, at + 1, F.size(groups))
+        full = F.filter(later, lambda g: F.exists(g, lambda p: ~is_agent(p)))
+        rules = F.coalesce(F.get(full, F.lit(0)), F.array().cast("array<struct<field:string,value:string>>"))
+        named = F.exists(part, lambda p: is_agent(p) & (p["value"] == "*"))
+        return named & F.exists(rules, lambda p: (p["field"] == "disallow") & (p["value"] == "/"))
+
+    return F.exists(F.transform(groups, closed), lambda x: x)
+
+
+#: A string literal, a name or number, or any other sign of a line of code.
+TOKEN = r"""f?"(?:[^"\\\n]|\\.)*"|f?'(?:[^'\\\n]|\\.)*'|f?`[^`]*`|[A-Za-z_$][A-Za-z0-9_]*|[^ \t]"""
+JOINS = ("+", ".", "%")
+
+
+def splices(code: Column) -> Column:
+    """Whether a string literal is put together with a value: joined to a name by an operator, or with a hole in it."""
+    tokens = F.regexp_extract_all(code, F.lit(TOKEN), 0)
+
+    def literal(t):
+        return t.rlike("^f?[\"'`]")
+
+    def hole(t):
+        return literal(t) & (t.rlike(r"[$#]\{[^}]+\}") | (t.startswith("f") & t.rlike(r"\{[^}]+\}")))
 
-    def step(a, line):
-        agent = line.rlike("(?i)^user-agent *:")
-        fresh = agent & a["body"]
-        star = F.lower(F.trim(F.regexp_replace(line, "(?i)^user-agent *:", ""))) == "*"
-        shut = line.rlike("(?i)^disallow *: */ *$")
-        return F.struct(
-            F.when(agent, (a["all"] & ~fresh) | star).otherwise(a["all"]).alias("all"),
-            ((a["body"] & ~fresh) | line.rlike("(?i)^(allow|disallow|crawl-delay|sitemap) *:")).alias("body"),
-            F.when(fresh, F.lit(False)).otherwise(a["shut"] | shut).alias("shut"),
-            (a["found"] | F.when(fresh, a["all"] & a["shut"]).otherwise(F.lit(False))).alias("found"),
-        )
+    def spliced(found):
+        joined = F.transform(
+            found,
+            lambda t, i: literal(t) & F.get(found, i + 1).isin(*JOINS) & F.coalesce(F.get(found, i + 2).rlike("^[A-Za-z_$]") & ~literal(F.get(found, i + 2)), F.lit(False)),
+        )
+        return F.exists(found, hole) | F.exists(joined, lambda x: F.coalesce(x, F.lit(False)))
 
-    return F.aggregate(lines, start, step, lambda a: a["found"] | (a["all"] & a["shut"]))
+    return F.get(F.transform(F.array(tokens), spliced), F.lit(0))
 
 
 def dynamic_sql(lines: DataFrame, key: str, number: str, line: str, width: int = 4) -> DataFrame:
     """Lines from which a statement is put together within ``width`` lines: a call, an SQL word and a spliced value."""
     w = Window.partitionBy(key).orderBy(number).rowsBetween(0, width - 1)
-    spliced = r"""\$\{[^}]+\}|#\{[^}]+\}|\bf["'][^\n]*\{[^}]+\}|["'][^"'\n]*["']\s*[+.%]\s*\$?[A-Za-z_]\w*"""
     seen = lines.withColumn("_s", F.array_join(F.collect_list(line).over(w), " "))
-    return seen.filter(F.col("_s").rlike(PATTERNS["sql_call"]) & F.col("_s").rlike(PATTERNS["sql_words"]) & F.col("_s").rlike(spliced)).drop("_s")
+    return seen.filter(F.col("_s").rlike(PATTERNS["sql_call"]) & F.col("_s").rlike(PATTERNS["sql_words"]) & splices(F.col("_s"))).drop("_s")
 
 
 def reach(links: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:

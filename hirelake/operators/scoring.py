@@ -26,18 +26,20 @@ PENALTY = ("stupid", 15)
 GATE = ("core", 60)
 
 
-def _mentions(alias: str):
-    words = F.split(F.lower("description"), "[^a-z]+")
-    return F.size(F.filter(words, lambda w: w == alias)).cast("long")
-
-
 def mentions(j: DataFrame) -> DataFrame:
-    return j.select("external_id", "description", *[_mentions(a).alias(c) for c, _, _, a, _, _ in TAXONOMY])
+    """external_id, whether the penalty word stands in the text, and a count a concept. A text is split once: only the
+    words of the taxonomy are kept before they are counted."""
+    aliases = [a for _, _, _, a, _, _ in TAXONOMY]
+    text = F.lower("description")
+    words = F.filter(F.split(text, "[^a-z]+"), lambda w: w.isin(*aliases))
+    found = j.select("external_id", words.alias("_words"), text.contains(PENALTY[0]).alias("penal"))
+    count = lambda a: F.size(F.filter("_words", lambda w: w == a)).cast("long")
+    return found.select("external_id", "penal", *[count(a).alias(c) for c, _, _, a, _, _ in TAXONOMY])
 
 
 def concept_totals(spark: SparkSession, d: str) -> DataFrame:
     """Documents and mentions per concept."""
-    m = mentions(jobs(spark, d)).drop("description")
+    m = mentions(jobs(spark, d)).drop("penal")
     long = m.unpivot(["external_id"], [c[0] for c in TAXONOMY], "concept", "n").filter("n > 0")
     return long.groupBy("concept").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("mentions"), F.max("n").alias("top"))
 
@@ -51,7 +53,7 @@ def scored(j: DataFrame) -> DataFrame:
         rows = [(c, w) for c, cat, w, *_ in TAXONOMY if cat == category]
         mean = sum((effective[c] * w for c, w in rows), F.lit(0.0)) / sum(w for _, w in rows)
         total, active = total + mean * weight, active + weight
-    raw = total / active * 100 - F.when(F.lower("description").contains(PENALTY[0]), PENALTY[1]).otherwise(0)
+    raw = total / active * 100 - F.when(F.col("penal"), PENALTY[1]).otherwise(0)
     gated = F.when(F.col(GATE[0]) == 0, F.least(raw, F.lit(float(GATE[1])))).otherwise(raw)
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), gated)), 2)
     missing = F.concat_ws(",", *[F.when(effective[c] == 0, c) for c, _, w, *_ in TAXONOMY if w >= 3])

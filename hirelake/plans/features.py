@@ -6,8 +6,10 @@ them; everything else is built from Spark's expressions. Rows stay where they ar
 
 from __future__ import annotations
 
+import heapq
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -22,6 +24,8 @@ NEAR, NEGATION_GAP, YEARS_NEAR = 120, 6, 90
 BREAK = re.compile("[.!?\n;]")
 #: Words that mark years as experience.
 EXPERIENCE = re.compile("опыт|experience|commercial|коммерч|разработк|developer|engineer")
+#: Marks of a sentence about the company or the team.
+ABOUT_OTHERS = "в компании|команд|работают|есть|много"
 CONCEPTS = "map<string,struct<match:double,context:double,confidence:double,mentions:int>>"
 FOUND = "struct<mentions:array<struct<concept:string,context:double>>,years:int>"
 
@@ -55,6 +59,7 @@ class Mentions:
         pairs = sorted(((a, c.name) for c in taxonomy.concepts for a in c.aliases), key=lambda p: (-len(p[0]), p))
         self.by_alias = {a: n for a, n in reversed(pairs)}
         self.stems = [(re.compile(_stem(a)), n) for a, n in pairs if _stem(a) != re.escape(a)]
+        self.each = [(_borders(_stem(a)), n) for a, n in pairs]
         self.alias = _borders("|".join(_stem(a) for a, _ in pairs))
         self.parents = {n: [(a, p) for a, p in pairs if n != p and re.fullmatch(re.escape(p) + r"_\d+", n)] for _, n in pairs}
         self.modifier_of = {p: (name, value) for name, value, ps in reversed(taxonomy.modifiers) for p in ps}
@@ -66,23 +71,31 @@ class Mentions:
         self.number = re.compile(rf"(?:от|не менее|минимум|at least)\s+({words})\s+(?:лет|года|год|years?)") if words else None
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        found = []
+        """Longest first over all matches, then earliest, then by name: what overlaps a match that stays goes."""
+        queue = []
         for m in self.alias.finditer(text):
             words = m[1]
             name = self.by_alias.get(words) or next(n for p, n in self.stems if p.fullmatch(words))
-            found.append((m.start(1), m.end(1), name))
+            queue.append((-len(words), m.start(1), name))
+        heapq.heapify(queue)
+        starts: list[int] = []
         kept: list[tuple[int, int, str]] = []
-        last = -1
-        # Matches come by start; of two that overlap the longer stays, the earlier where they are as long.
-        for start, end, name in found:
-            if start >= last:
-                kept.append((start, end, name))
-            elif end - start > kept[-1][1] - kept[-1][0]:
-                kept[-1] = (start, end, name)
-            last = kept[-1][1]
+        while queue:
+            size, start, name = heapq.heappop(queue)
+            end, at = start - size, bisect_left(starts, start)
+            if (at == len(kept) or kept[at][0] >= end) and (at == 0 or kept[at - 1][1] <= start):
+                starts.insert(at, start)
+                kept.insert(at, (start, end, name))
+            elif shorter := self.shorter(text, start, -size):
+                heapq.heappush(queue, shorter)
         inner = [(s, e, p) for s, e, n in kept for a, p in self.parents[n] if a in text[s:e].split() or text[s:e].startswith(a + " ")]
         return sorted({*kept, *inner})
 
+    def shorter(self, text: str, start: int, size: int) -> tuple[int, int, str] | None:
+        """The longest match at start of fewer characters than size."""
+        found = [(-len(m[1]), start, n) for p, n in self.each if (m := p.match(text, start)) and len(m[1]) < size]
+        return min(found, default=None)
+
     def contexts(self, text: str, spans: list[tuple[int, int, str]]) -> list[float]:
         """For each mention the multiplier of the nearest modifier around its sentence, 1 without any."""
         if self.modifier is None:
@@ -121,9 +134,10 @@ def found_in(text: Column, taxonomy: Taxonomy) -> Column:
     """Mentions in text order with their context, and the years of experience asked for."""
 
     @F.pandas_udf(FOUND)
-    def find(texts: pd.Series) -> pd.DataFrame:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         finder = Mentions(taxonomy)
-        return pd.DataFrame([finder.read(t) for t in texts], columns=["mentions", "years"])
+        for texts in batches:
+            yield pd.DataFrame([finder.read(t) for t in texts], columns=["mentions", "years"])
 
     return find(text)
 
@@ -177,10 +191,8 @@ def _seniority(title: Column, body: Column, years: Column) -> Column:
 def _negatives(title: Column, body: Column, t: Taxonomy) -> Column:
     """Signals of the title, or of a sentence; for role conflicts not of sentences about the company or the team."""
     sentences = F.split(body, "[.!?\n;]+")
-    about_others = "в компании|команд|работают|есть|много"
-
     def one(n):
-        spoken = F.filter(sentences, lambda s: ~s.rlike(about_others)) if n.conflict else sentences
+        spoken = F.filter(sentences, lambda s: ~s.rlike(ABOUT_OTHERS)) if n.conflict else sentences
         return _any(title, n.patterns) | F.exists(spoken, lambda s: _any(s, n.patterns))
 
     fields = [F.struct(F.lit(n.name).alias("id"), F.lit(float(n.penalty)).alias("penalty"), F.lit(n.conflict).alias("conflict")) for n in t.negatives]

@@ -2,8 +2,7 @@
 
 A subscriber has chat_id and arrays technologies, title_words, keywords, companies, locations, roles, levels, formats (null
 or empty: no condition) and min_score. Jobs and subscribers meet on one blocking key each, so the match is an equi-join:
-a subscriber with technologies is looked up by them; the others, whose conditions are substrings, by the key that all jobs
-carry, dealt over ``salts`` parts.
+see ``matched``.
 """
 
 from __future__ import annotations
@@ -18,6 +17,10 @@ def _low(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
+#: Characters of a choice by which companies and locations that hold it are looked up.
+GRAM = 3
+
+
 def _chosen(name: str) -> Column:
     words = F.transform(F.col(name), F.lower)
     return F.coalesce(F.filter(words, lambda w: w.isNotNull() & (w != "")), F.array().cast("array<string>"))
@@ -28,29 +31,70 @@ def _admits(choices: str, text: Column) -> Column:
 
 
 def condition() -> Column:
-    """All conditions but technologies, over a joined row of event and subscriber with lower-case choices."""
-    title, formats = _low("title"), F.concat_ws(" ", _low("workplace_type"), _low("location"))
-    whole = F.concat_ws(" ", *map(_low, ("company", "title", "location", "team", "workplace_type", "description")))
-    tests = {"title_words": title, "keywords": whole, "companies": _low("company"), "locations": _low("location"), "roles": title, "levels": title, "formats": formats}
+    """All conditions but technologies and keywords, over a joined row of event and subscriber, both in lower case."""
+    title = F.col("title")
+    tests = {"title_words": title, "companies": F.col("company"), "locations": F.col("location"), "roles": title, "levels": title, "formats": F.col("formats_of")}
     out = (F.coalesce("min_score", F.lit(0)) <= 0) | (F.coalesce(F.col("score"), F.lit(-1.0)) >= F.col("min_score"))
     for name, text in tests.items():
         out = out & _admits(name, text)
     return out
 
 
-def matched(events: DataFrame, subscribers: DataFrame, salts: int = 16) -> DataFrame:
+def haystack() -> Column:
+    return F.concat_ws(" ", *map(_low, ("company", "title", "location", "team", "workplace_type", "description")))
+
+
+def _grams(text: Column) -> Column:
+    """All strings of one to GRAM characters in a text."""
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.when(F.length(text) >= k, at(k)).otherwise(none) for k in range(1, GRAM + 1)]))
+
+
+def _holding(events: DataFrame, people: DataFrame, value: str, choices: str) -> DataFrame:
+    """chat number and each of the events' values that holds one of the subscriber's choices, found by the first characters
+    of a choice: an equi-join over different values, never all pairs."""
+    values = events.select(_low(value).alias("value")).distinct().withColumn("gram", F.explode(_grams(F.col("value"))))
+    asked = people.select("_n", F.explode(choices).alias("choice")).withColumn("gram", F.substring("choice", 1, GRAM))
+    return asked.join(values, "gram").filter(F.contains("value", F.col("choice"))).select("_n", "value").distinct()
+
+
+def matched(events: DataFrame, subscribers: DataFrame, salts: int | None = None) -> DataFrame:
     """event_id and chat_id of each match. events: event_id, the job's columns, technologies array and score (or null).
 
+    A subscriber meets events by one equi-join key: a wanted technology, else a company, else a location that holds a
+    wanted one. Only those who name none of the three meet all events, under as many salts as shuffle partitions.
+    Descriptions are joined in for the pairs whose subscriber has keywords and that meet all other conditions.
+
     Subscribers without a chat_id go. Null texts count as empty; a minimal score refuses jobs without a score.
     """
+    c = F.col
+    salts = salts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     people = subscribers.filter("chat_id is not null and chat_id <> ''").withColumns({a: _chosen(a) for a in ARRAYS})
-    every = F.array(*[F.concat(F.lit("*"), F.lit(str(k))) for k in range(salts)])
-    keyed = people.withColumn("_key", F.explode(F.when(F.size("technologies") > 0, F.array_distinct("technologies")).otherwise(every)))
-    salt = F.concat(F.lit("*"), F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("string"))
+    people = people.withColumn("_n", F.xxhash64("chat_id", *[F.to_json(a) for a in ARRAYS], F.coalesce("min_score", F.lit(0))))
+    some = lambda name: F.size(name) > 0
+    technology, company = some("technologies"), ~some("technologies") & some("companies")
+    location = ~some("technologies") & ~some("companies") & some("locations")
+    every = F.array(*[F.lit(str(k)) for k in range(salts)])
+    keys = (
+        people.filter(technology).select("_n", F.lit("t").alias("_kind"), F.explode(F.array_distinct("technologies")).alias("_key"))
+        .union(_holding(events, people.filter(company), "company", "companies").select("_n", F.lit("c"), "value"))
+        .union(_holding(events, people.filter(location), "location", "locations").select("_n", F.lit("l"), "value"))
+        .union(people.filter(~technology & ~company & ~location).select("_n", F.lit("*"), F.explode(every)))
+    )
     names = F.transform(F.coalesce("technologies", F.array().cast("array<string>")), F.lower)
-    rows = events.withColumn("_key", F.explode(F.array_distinct(F.concat(names, F.array(salt))))).drop("technologies")
-    pairs = rows.join(keyed.drop("technologies"), "_key").filter(condition()).select("event_id", "chat_id")
-    return pairs.dropDuplicates()  # a job may meet a subscriber by several technologies
+    tag = lambda kind, key: F.struct(F.lit(kind).alias("_kind"), key.alias("_key"))
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("string")
+    placed = F.concat(F.transform(F.array_distinct(names), lambda t: tag("t", t)), F.array(tag("c", _low("company")), tag("l", _low("location")), tag("*", salt)))
+    low = [_low(n).alias(n) for n in ("company", "title", "location")]
+    formats = F.concat_ws(" ", _low("workplace_type"), _low("location")).alias("formats_of")
+    short = events.select("event_id", *low, formats, "score", F.explode(placed).alias("_at")).select("*", "_at.*").drop("_at")
+    pairs = short.join(people.drop("technologies").join(keys, "_n"), ["_kind", "_key"]).filter(condition())
+    plain = pairs.filter(~some("keywords")).select("event_id", "chat_id")
+    asking = pairs.filter(some("keywords")).select("event_id", "chat_id", "keywords").dropDuplicates()
+    texts = events.select("event_id", haystack().alias("_text"))
+    told = asking.join(texts, "event_id").filter(_admits("keywords", c("_text"))).select("event_id", "chat_id")
+    return plain.union(told).dropDuplicates()  # a job may meet a subscriber by several technologies
 
 
 def unsent(pairs: DataFrame, deliveries: DataFrame) -> DataFrame:

@@ -21,6 +21,22 @@ def test_mentions():
     assert found.min_years("не менее пяти лет опыт") == 5 and found.min_years("нам 7 лет") is None
 
 
+def _toy(*aliases):
+    from dataclasses import replace
+
+    return P.Mentions(replace(T, concepts=tuple(replace(T.concepts[0], name=n, aliases=a) for n, a in aliases)))
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [("aa bb cc dd ee ff gg", ["A", "C"]), ("aa bb cc", ["A"]), ("bb cc dd ee ff gg bb cc dd", ["B", "C", "B"]), ("aa bb x bb cc dd", ["A", "B"]), ("dd ee", ["S"]), ("bb cc dd ee", ["B", "E"])],
+)
+def test_longest_first(text, names):
+    """Chains of overlaps: the longest match stays whatever begins before it; a shorter alias takes the place of one that goes."""
+    found = _toy(("A", ("aa bb",)), ("B", ("bb cc dd", "bb cc")), ("C", ("dd ee ff gg",)), ("S", ("dd ee",)), ("E", ("ee",)))
+    assert [n for _, _, n in found.spans(text)] == names
+
+
 @pytest.mark.parametrize("text, value", [("kafka будет плюсом", 0.5), ("kafka не обязателен", 0.15), ("мигрируем с kafka", 0.05), ("kafka", 1.0), ("без kafka", 0.0)])
 def test_context(text, value):
     at = text.index("kafka")
