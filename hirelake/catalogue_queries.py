@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import account, audit, candidates, catalogue, lifecycle, page_audit, resumes, scoring, vacancies
+from .operators import account, account_reports, audit, candidates, catalogue, facets, lifecycle, page_audit, resumes, scoring, vacancies
 
 FLAGSHIP = "rank_top"
-QUERIES = {**catalogue.QUERIES, **lifecycle.QUERIES, **scoring.QUERIES, **audit.QUERIES, **candidates.QUERIES, **vacancies.QUERIES, **page_audit.QUERIES, **resumes.QUERIES, **account.QUERIES}
-ORACLE = {**catalogue.ORACLE, **lifecycle.ORACLE, **scoring.ORACLE, **audit.ORACLE, **candidates.ORACLE, **vacancies.ORACLE, **page_audit.ORACLE, **resumes.ORACLE, **account.ORACLE}
+MODULES = (catalogue, lifecycle, scoring, audit, candidates, vacancies, page_audit, resumes, account, facets, account_reports)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
