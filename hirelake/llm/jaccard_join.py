@@ -36,7 +36,7 @@ from .common import bind, cut, discard, ids_clash, lower_ascii, row_numbers, wor
 
 BUCKETS_LOG2 = 22
 #: Buckets a row of counts on the way to the driver.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 def shingle_set(text: Column, k: int) -> Column:
@@ -58,7 +58,10 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many set members fall in each hash bucket: a table of fixed size, over all rows."""
+    """How many set members fall in each hash bucket: a table of fixed size, over all rows.
+
+    A task sends its counts in rows of CHUNK buckets, small enough for all tasks' rows of one chunk to fit in a task.
+    """
 
     def run(batches):
         held = np.zeros(1 << BUCKETS_LOG2, np.int64)
@@ -66,13 +69,13 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
             if len(b):
                 held += np.bincount(_bucket(np.concatenate(list(b["h"]))), minlength=len(held))
         at = [k for k in range(0, len(held), CHUNK) if held[k : k + CHUNK].any()]
-        yield pd.DataFrame({"chunk": np.array(at, np.int64), "counts": [held[k : k + CHUNK].tobytes() for k in at]})
+        yield pd.DataFrame({"chunk": np.array(at, np.int64), "counts": [held[k : k + CHUNK].astype(np.int32).tobytes() for k in at]})
 
     def summed(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, counts in zip(b["chunk"], b["counts"]):
-                held[k] = held.get(k, 0) + np.frombuffer(counts, np.int64)
+                held[k] = held.get(k, np.zeros(CHUNK, np.int64)) + np.frombuffer(counts, np.int32)
         yield pd.DataFrame({"chunk": list(held), "counts": [x.tobytes() for x in held.values()]}).astype({"chunk": "int64"})
 
     schema = "chunk long, counts binary"
