@@ -398,7 +398,9 @@ def test_lm_rows_and_plain_scores(spark):
     total, kinds = counts.selectExpr("sum(n)", "count(1)").first()
     c = {r.word: r.n for r in counts.collect()}
     model = lm.symbols(counts, total, kinds)
-    model["tree"] = tree = lm.learn_tree(docs, model, total)
+    table = lm.learn_tree(docs, model, total)
+    model["tree"] = tree = lm.load(table, list(range(256)))
+    assert len(lm.shards(table)) == 1
     assert len(tree["contexts"]) > 20 and max(int(x) >> 8 * lm.DEPTH for x in tree["contexts"]) == lm.DEPTH
     reader, flat = lm.Reader(model), np.log10(model["mass"])
     steps, rests = dict(zip(tree["steps"].tolist(), tree["logp"])), dict(zip(tree["contexts"].tolist(), tree["rest"]))
@@ -423,6 +425,25 @@ def test_lm_rows_and_plain_scores(spark):
     assert sorted(((r.doc_id, r.score) for r in got), key=key) == [(i, pytest.approx(s)) for i, s in sorted(((i, plain(t)) for i, t in texts), key=key)]
 
 
+def test_lm_shards_leave_scores_alone(docs, monkeypatch):
+    """Every subtree a shard of its own gives the same rows as one shard."""
+    from hirelake.llm import lm_scoring as lm
+
+    whole = {r.doc_id: r for r in lm_scores(docs, docs).collect()}
+    monkeypatch.setattr(lm, "SHARD", 1)
+    for r in lm_scores(docs, docs).collect():
+        assert r.score == pytest.approx(whole[r.doc_id].score) and r.n_tokens == whole[r.doc_id].n_tokens
+        assert r.base_score == pytest.approx(whole[r.doc_id].base_score)
+
+
+def test_lm_tree_grows_with_the_corpus():
+    """More tokens of the same text mix: rarer shares are told apart, by N^(1/3)."""
+    from hirelake.llm import lm_scoring as lm
+
+    shares = [lm.least(lm.STEP_MIN, 10**k) / 10**k for k in (7, 10, 13)]
+    assert shares == pytest.approx([shares[0], shares[0] / 10, shares[0] / 100])
+
+
 def test_lm_distribution_sums_to_one(docs):
     from hirelake.llm import lm_scoring as lm
 
@@ -430,7 +451,7 @@ def test_lm_distribution_sums_to_one(docs):
     total, kinds = counts.selectExpr("sum(n)", "count(1)").first()
     model = lm.symbols(counts, total, kinds)
     assert math.isclose(model["mass"].sum(), 1)
-    model["tree"] = lm.learn_tree(docs, model, total)
+    model["tree"] = lm.load(lm.learn_tree(docs, model, total), list(range(256)))
     sym = np.arange(len(model["mass"]), dtype=np.uint64)
     for ctx in model["tree"]["contexts"]:
         p = model["mass"] * 10 ** lm.gains(np.full(len(sym), ctx), sym, model)
