@@ -1,8 +1,8 @@
 """Exact n-gram Jaccard join by set-relation skipping, as classes and connected components.
 
 1. Every text becomes the set of 64-bit hashes of its distinct shingles; equal sets are one class from here on.
-2. Tokens are ordered by the count of their hash bucket over the whole corpus (2 ** BUCKETS_LOG2 buckets, whatever the
-   corpus), rare first; the order decides only how long lists are. A class enters index lists with its first
+2. Tokens are ordered by the level of their hash bucket's count over the whole corpus (2 ** BUCKETS_LOG2 buckets, whatever
+   the corpus; STEPS levels for each doubling of the count), rare first; the order decides only how long lists are. A class enters index lists with its first
    n - ceil(t n) + 2 tokens and their positions. Two different sets that reach t (over a half) share two tokens in both
    prefixes, at which min(n1 - i, n2 - j) + 1 still reaches the overlap they need; list entries that can't satisfy this
    with each other are skipped by position and size.
@@ -37,6 +37,8 @@ from .common import bind, cut, discard, ids_clash, lower_ascii, row_numbers, wor
 BUCKETS_LOG2 = 22
 #: Buckets a row of counts on the way to the driver.
 CHUNK = 1 << 13
+#: Levels of a count for each doubling: one byte holds the level of any count.
+STEPS = 4
 
 
 def shingle_set(text: Column, k: int) -> Column:
@@ -57,10 +59,11 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
 
 
-def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many set members fall in each hash bucket: a table of fixed size, over all rows.
+def bucket_levels(sets: DataFrame) -> np.ndarray:
+    """How many set members fall in each hash bucket, over all rows, as levels of one byte: a table of fixed size.
 
-    A task sends its counts in rows of CHUNK buckets, small enough for all tasks' rows of one chunk to fit in a task.
+    A task sends its counts in rows of CHUNK buckets, small enough for all tasks' rows of one chunk to fit in a task; counts
+    are added up in tasks, and only their levels come to the driver.
     """
 
     def run(batches):
@@ -76,14 +79,14 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
         for b in batches:
             for k, counts in zip(b["chunk"], b["counts"]):
                 held[k] = held.get(k, np.zeros(CHUNK, np.int64)) + np.frombuffer(counts, np.int32)
-        yield pd.DataFrame({"chunk": list(held), "counts": [x.tobytes() for x in held.values()]}).astype({"chunk": "int64"})
+        levels = [(STEPS * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in held.values()]
+        yield pd.DataFrame({"chunk": list(held), "levels": levels}).astype({"chunk": "int64"})
 
-    schema = "chunk long, counts binary"
-    told = sets.select("h").mapInPandas(run, schema).repartition("chunk").mapInPandas(summed, schema)
-    out = np.zeros(1 << BUCKETS_LOG2, np.int64)
-    for r in told.toLocalIterator():
-        out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    told = sets.select("h").mapInPandas(run, "chunk long, counts binary").repartition("chunk")
+    out = np.zeros(1 << BUCKETS_LOG2, np.uint8)
+    for r in told.mapInPandas(summed, "chunk long, levels binary").toLocalIterator():
+        out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.levels, np.uint8)
+    return out
 
 
 def _prefixes(shared, num: int, den: int):
@@ -157,7 +160,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The same for docs whose doc_id is there and names a row."""
     c = F.col
     sets = docs.select("doc_id", shingle_set(c("text"), k).alias("h"))
-    shared = docs.sparkSession.sparkContext.broadcast(bucket_counts(sets))
+    shared = docs.sparkSession.sparkContext.broadcast(bucket_levels(sets))
     members = cut(sets.mapInPandas(_prefixes(shared, num, den), "doc_id long, n long, key string, prefix array<bigint>"), "jj-members")
 
     classes = members.filter("n > 0").groupBy("key").agg(
