@@ -104,9 +104,43 @@ def jaccard_sql() -> str:
     JOIN reach ON reach.id = d.doc_id GROUP BY d.doc_id, n.n"""
 
 
+def phrase_sql(least: int = 100, longest: int = 5, top: int = 2000) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({low}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM w, unnest(range(1, {longest + 1})) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i)),
+    f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {least} OR k = 1),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= {least}),
+    parts AS (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM c, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS r(i)),
+    gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN parts ON parts.lang = c.lang AND parts.phrase = c.phrase WHERE 100 * parts.a >= 100 * c.a),
+    cuts AS (SELECT c.lang, c.phrase, c.a, m AS cut, array_to_string(c.w[1:m], ' ') AS head, array_to_string(c.w[m + 1:], ' ') AS rest
+      FROM (SELECT * FROM c ANTI JOIN gone USING (lang, phrase)) c, unnest(range(1, c.k)) AS s(m)),
+    x AS (SELECT cuts.lang, cuts.phrase, a, cut, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = rest JOIN n ON n.lang = cuts.lang),
+    y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM y QUALIFY rank <= {top}"""
+
+
+def search_sql(top: int = 50) -> str:
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    terms = f"regexp_extract_all({low.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {terms} AS t FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+    s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM k),
+    m AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM k, s),
+    q AS (SELECT item_id, unnest(list_distinct({terms})) AS term FROM benchmark WHERE text IS NOT NULL),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+    x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM x WHERE score > 0 QUALIFY rank <= {top}"""
+
+
 ORACLE = {
     "op1_url_filters": url_sql(),
     "op2_jaccard_join": jaccard_sql(),
     "op4_chat_formatting": chat_sql(),
     "op7_quality_rules": quality_sql(),
+    "op12_phrase_mining": phrase_sql(),
+    "op13_ranked_search": search_sql(),
 }

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id
+from . import bpe, language_id, quality_classifier
 from .chat_formatting import format_chats, read_back
 from .common import table
 from .decontamination import decontaminate, op3_columns
 from .jaccard_join import jaccard_join
 from .lm_scoring import lm_scores
 from .oracle import ORACLE as ORACLE
+from .phrase_mining import collocations
 from .quality_rules import quality_rules
+from .ranked_search import ranked_search
 from .secret_scan import secret_scan
 from .suffix_dedup import substring_dedup
 from .url_filters import url_filters
@@ -98,6 +100,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels"), crc_remainder("doc_id", 5) == 0)
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_jaccard_join": op2_jaccard_join,
@@ -109,4 +124,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_ranked_search": op13_ranked_search,
 }
