@@ -40,8 +40,9 @@ CHUNK = 1 << 16
 PAIRS = 300_000_000
 TRIE = 2_000_000
 WORDS = 500_000
-#: Numbers a row of a written sequence.
+#: Numbers a row of a written sequence, and places a task at least, as every task sends its own counts of all candidates.
 ROW = 1 << 18
+TASK = 16_000_000
 SALT = 32
 BREAK = b"\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" ")
@@ -365,6 +366,7 @@ def longer_phrases(texts: DataFrame, least: int) -> DataFrame | None:
     """s, t, f, id of the frequent pairs of neighbours, written; None where there is none."""
     held = texts.agg(F.coalesce(F.sum(F.length("numbers")), F.lit(0))).first()[0] // 4
     rounds = max(1, -(-held // PAIRS))
+    texts = texts.coalesce(max(1, -(-held // TASK)))
     found = []
     for this in range(rounds):
         here = cut(candidates(texts, least, this, rounds), "pm-candidates")
