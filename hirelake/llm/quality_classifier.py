@@ -5,8 +5,8 @@ byte 3- and 4-grams of its words with their borders, upper case kept; each is ha
 numbers. The text's vector is their mean, and a softmax layer over it tells the labels.
 
 Both are learnt by numpy stochastic gradient descent on at most SAMPLE labelled documents, those with the least hashes of
-their ids. The sample's features are computed in tasks and written; in each epoch every one of at most PARTS groups descends
-from the same model, and the models are averaged. The model has a fixed size, so it is what goes to the tasks and back.
+their ids. The sample's features are computed in tasks and written, a row for each of at most PARTS groups; in each epoch every
+group descends from the same model, and the models are averaged. The model has a fixed size, so it is what goes to the tasks and back.
 
 As the layer is linear in the mean, a feature's vector times the layer is one number: scoring a text is the mean of these
 numbers over all its features, from a table of 2 ** BUCKETS_LOG2 numbers.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard
 
 BUCKETS_LOG2, DIM = 17, 8
-SAMPLE, PARTS, PART_ROWS = 10_000, 4, 1_000
+SAMPLE, PARTS, PART_ROWS = 5_000, 4, 1_000
 EPOCHS, RATE = 8, 2.0
 PIECE = 1 << 20
 _SPACES = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
@@ -108,11 +108,18 @@ def descend(model: dict, rows: list[tuple[np.ndarray, np.ndarray, int]], rate: f
     return {"vectors": vectors, "layer": layer, "bias": bias}
 
 
+def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A group's rows as one."""
+    pdf = pdf.sort_values("h")
+    held = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32), y) for a, s, y in zip(pdf["at"], pdf["share"], pdf["y"])]
+    return pd.DataFrame({"n": [len(held)], "rows": [pickle.dumps(held)]})
+
+
 def _fitted(shared, rate: float, seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h")
-        held = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32), y) for a, s, y in zip(pdf["at"], pdf["share"], pdf["y"])]
-        return pd.DataFrame({"n": [len(held)], "model": [pickle.dumps(descend(shared.value, held, rate, seed))]})
+    def run(batches):
+        for b in batches:
+            for n, rows in zip(b["n"], b["rows"]):
+                yield pd.DataFrame({"n": [n], "model": [pickle.dumps(descend(shared.value, pickle.loads(rows), rate, seed))]})
 
     return run
 
@@ -137,17 +144,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict |
         discard(table)
         return None
     parts = min(PARTS, -(-said.n // PART_ROWS))
-    fit = table.filter(c("h") <= said.h).withColumn("part", F.pmod(F.xxhash64(c("h").bitwiseXOR(F.lit(1))), F.lit(parts)))
+    dealt = table.filter(c("h") <= said.h).withColumn("part", F.pmod(F.xxhash64(c("h").bitwiseXOR(F.lit(1))), F.lit(parts)))
+    fit = cut(dealt.groupBy("part").applyInPandas(_packed, "n long, rows binary"), "qc-groups")
+    discard(table)
     model = start()
     for epoch in range(EPOCHS):
         shared = spark.sparkContext.broadcast(model)
-        told = fit.groupBy("part").applyInPandas(_fitted(shared, RATE * (1 - epoch / EPOCHS), epoch), "n long, model binary").collect()
+        told = fit.mapInPandas(_fitted(shared, RATE * (1 - epoch / EPOCHS), epoch), "n long, model binary").collect()
         shared.destroy()
         models = sorted(((r.n, bytes(r.model)) for r in told), key=lambda x: x[1])
         weights = [n / sum(n for n, _ in models) for n, _ in models]
         held = [pickle.loads(m) for _, m in models]
         model = {k: sum(w * m[k] for w, m in zip(weights, held)).astype(np.float32) for k in model}
-    discard(table)
+    discard(fit)
     return model
 
 
