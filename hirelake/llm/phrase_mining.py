@@ -40,9 +40,9 @@ CHUNK = 1 << 16
 PAIRS = 300_000_000
 TRIE = 2_000_000
 WORDS = 500_000
-#: Numbers a row of a written sequence, and places a task at least, as every task sends its own counts of all candidates.
+#: Numbers a row of a written sequence, and places a task (128 MB), as every task sends its own counts of all candidates.
 ROW = 1 << 18
-TASK = 16_000_000
+TASK = 1 << 25
 SALT = 32
 BREAK = b"\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + BREAK * 10 + b" ")
