@@ -1,7 +1,9 @@
 """Benchmark decontamination: BM25 over test items, asked with every training passage.
 
 Each test item is a BM25 document; each window of a training text is a query, and all items that reach a share THETA of
-their own full score are retrieved. Scores are divided by the item's full score, so one threshold serves all. An item's
+their own full score are retrieved. Windows follow the item: items of up to MIN_WINDOW words, of up to twice as many, and so
+on are classes with lists of their own, and a text is cut anew for each class that occurs, so that what is said of an item
+never depends on how long others are. Scores are divided by the item's full score, so one threshold serves all. An item's
 terms of least weight that can't reach THETA together have no postings: an item is worth looking at only when the others
 bring what those leave open, so a posting's weight is its part of that need and the threshold of all items is 1.
 
@@ -13,13 +15,13 @@ with the passage. A part of one or two words must occur as a word sequence; so m
 a question mark, as a whole, since its halves would be single words. An item of one word is held by every passage with
 that word.
 
-Document frequencies, the number of items, their mean length and the window are counted by Spark over all items. The
+Document frequencies, the number of items and their mean length are counted by Spark over all items. The
 index is built in tasks, in shards of about SHARD_WORDS words by a hash of the item's number, so weights don't depend on
 the shard. Each shard is one pass over the documents and the only one in memory at a time.
 
 Defined cases: a null or empty text has no passage and is clean; null or empty items match nothing; an item
 without an id is reported as -1; repeated items each count, and are reported once; texts of any length are read whole in
-windows that overlap by an item's length; rows without an id and repeated rows are judged one by one; an empty table gives
+windows that overlap by the class's length, of which n_passages counts those of the first class; rows without an id and repeated rows are judged one by one; an empty table gives
 an empty table; other columns pass through.
 """
 
@@ -62,6 +64,18 @@ def _part(tokens: list[str]) -> tuple[int, set[tuple[str, ...]]]:
     return n, _grams(tokens, n)
 
 
+def window(size: int) -> int:
+    """Words a step of the passages in which an item of this size is looked for; a passage has twice as many."""
+    step = MIN_WINDOW
+    while step < size:
+        step *= 2
+    return step
+
+
+def _passages(words: int, step: int) -> int:
+    return max(1, -(-(words - step) // step))
+
+
 class Index:
     """Items (id, text) of one shard with their postings; statistics of all items, or of these where none are given."""
 
@@ -71,13 +85,13 @@ class Index:
         self.ids = [-1 if x[0] is None else int(x[0]) for x in kept]
         if stats is None:
             sizes = [len(x[2]) for x in kept]
-            stats = {"n": len(kept), "mean": sum(sizes) / max(1, len(kept)), "longest": max(sizes, default=0)}
+            stats = {"n": len(kept), "mean": sum(sizes) / max(1, len(kept))}
             stats["df"] = Counter(w for x in kept for w in set(x[2]))
         n, df = stats["n"], stats["df"]
-        self.window = max(MIN_WINDOW, stats["longest"])
         self.weights: list[dict[str, float]] = []
         self.parts: list[list[tuple[int, set]]] = []
-        posts: dict[str, tuple[list[int], list[float]]] = {}
+        #: Window: term: items and weights.
+        classes: dict[int, dict[str, tuple[list[int], list[float]]]] = {}
         for k, (_, text, words) in enumerate(kept):
             tf = Counter(words)
             norm = K1 * (1 - B + B * len(words) / stats["mean"])
@@ -90,21 +104,23 @@ class Index:
             while at < len(ranked) and easy + ranked[at][1] < THETA - 1e-9:
                 easy += ranked[at][1]
                 at += 1
+            posts = classes.setdefault(window(len(words)), {})
             for t, x in ranked[at:]:
                 items_of, weights_of = posts.setdefault(t, ([], []))
                 items_of.append(k)
                 weights_of.append(x / (THETA - easy))
             q = terms(text[: text.find("?") + 1]) if "?" in text else words[: len(words) // 2 if len(words) > 3 else 0]
             self.parts.append([_part(q), _part(words[len(q) :])])
-        #: Term: greatest weight, items, weights, and greatest weight of each block.
-        self.posts = {
-            t: (max(x), k, x, [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]) for t, (k, x) in posts.items()
+        #: Window: term: greatest weight, items, weights, and greatest weight of each block.
+        self.classes = {
+            size: {t: (max(x), k, x, [max(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK)]) for t, (k, x) in posts.items()}
+            for size, posts in sorted(classes.items())
         }
 
-    def retrieve(self, present: set[str], hits: set[str]) -> list[tuple[int, float]]:
-        """Items at or above THETA for a passage; present: its terms, hits: those with postings."""
+    def retrieve(self, posts: dict, present: set[str], hits: set[str]) -> list[tuple[int, float]]:
+        """Items of a class at or above THETA for a passage; present: its terms, hits: those with postings."""
         enough = 1 - 1e-7
-        lists = [self.posts[t] for t in hits]
+        lists = [posts[t] for t in hits]
         if sum(x[0] for x in lists) < enough:
             return []
         #: Next item, position, list: the number only keeps the order total.
@@ -152,20 +168,22 @@ class Index:
         words = terms(text)
         if not words:
             return 0, []
-        step, size = self.window, 2 * self.window
-        passages = max(1, -(-(len(words) - step) // step))
         found: dict[object, float] = {}
-        posts = self.posts
-        at = [i for i, w in enumerate(words) if w in posts]
+        for step, posts in self.classes.items():
+            self._leaks(words, step, posts, found)
+        return _passages(len(words), MIN_WINDOW), sorted(found.items())
+
+    def _leaks(self, words: list[str], step: int, posts: dict, found: dict) -> None:
+        passages = _passages(len(words), step)
         seen: dict[int, set[str]] = {}
-        for i in at:
+        for i in [i for i, w in enumerate(words) if w in posts]:
             k = i // step
             seen.setdefault(min(k, passages - 1), set()).add(words[i])
             if k:
                 seen.setdefault(k - 1, set()).add(words[i])
         for k, hits in seen.items():
-            part = words[k * step : k * step + size]
-            got = self.retrieve(set(part), hits)
+            part = words[k * step : (k + 2) * step]
+            got = self.retrieve(posts, set(part), hits)
             if not got:
                 continue
             here = {n: _grams(part, n) for n in {n for item, _ in got for n, _ in self.parts[item]}}
@@ -173,7 +191,6 @@ class Index:
                 if all(not g or len(g & here[n]) >= MIN_OVERLAP * len(g) for n, g in self.parts[item]):
                     i = self.ids[item]
                     found[i] = max(found.get(i, 0.0), score)
-        return passages, sorted(found.items())
 
 
 def shards(benchmark: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
@@ -188,9 +205,9 @@ def shards(benchmark: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     items = items.mapInPandas(tokenised, "id long, text string, words array<string>").filter(F.size("words") > 0)
     items = cut(items.withColumn("number", F.monotonically_increasing_id()), "bm-items")
     size = F.size("words").cast("long")
-    said = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("words"), F.coalesce(F.max(size), F.lit(0)).alias("longest")).first()
+    said = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("words")).first()
     count = max(1, -(-said.words // SHARD_WORDS))
-    stats = {"n": said.n, "mean": said.words / max(1, said.n), "longest": said.longest}
+    stats = {"n": said.n, "mean": said.words / max(1, said.n)}
     held = items.select("number", F.explode(F.array_distinct("words")).alias("term"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     told = held.join(df, "term").groupBy("number").agg(F.collect_list(F.struct("term", "df")).alias("terms"))

@@ -162,6 +162,7 @@ def _join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sets = docs.select("doc_id", shingle_set(c("text"), k).alias("h"))
     shared = docs.sparkSession.sparkContext.broadcast(bucket_levels(sets))
     members = cut(sets.mapInPandas(_prefixes(shared, num, den), "doc_id long, n long, key string, prefix array<bigint>"), "jj-members")
+    shared.destroy()
 
     classes = members.filter("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")

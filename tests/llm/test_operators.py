@@ -201,6 +201,19 @@ def test_decontamination_short_parts(spark):
     assert got == {i: leaks for i, _, leaks in said}
 
 
+def test_decontamination_does_not_depend_on_other_items(spark):
+    """Question and answer 300 words apart are no leak, however long another item is; long items are found as well."""
+    rng = np.random.default_rng(8)
+    filler = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    q, answer, huge = "Which river runs through the old town of Bern?", "the Aare runs around it", filler(5000)
+    said = [(1, f"{q} {filler(300)} {answer}"), (2, f"{filler(500)} {q} {answer} {filler(500)}"), (3, f"{filler(900)} {huge} {filler(900)}"), (4, huge[: len(huge) // 4])]
+    for more in ([], [(2, huge)]):
+        items = spark.createDataFrame([(1, f"{q} {answer}"), *more], "item_id long, text string")
+        got = {r.doc_id: (r.leaked_items, r.n_passages) for r in decontaminate(make(spark, said), items).collect()}
+        assert {i: x[0] for i, x in got.items()} == {1: [], 2: [1], 3: [2] if more else [], 4: []}
+        assert got[1][1] == 4
+
+
 @pytest.mark.parametrize("block", [1, 3, 64])
 def test_wand_loses_nothing(monkeypatch, block):
     from hirelake.llm import decontamination as dc
@@ -211,7 +224,8 @@ def test_wand_loses_nothing(monkeypatch, block):
     for _ in range(300):
         present = set(RNG.choice(VOCAB[:60], RNG.integers(1, 25)))
         plain = {k for k, w in enumerate(index.weights) if sum(x for t, x in w.items() if t in present) >= dc.THETA - 1e-9}
-        assert {k for k, _ in index.retrieve(present, {t for t in present if t in index.posts})} == plain
+        posts = index.classes[dc.MIN_WINDOW]
+        assert {k for k, _ in index.retrieve(posts, present, {t for t in present if t in posts})} == plain
         found += len(plain)
     assert found > 100
 
@@ -229,8 +243,8 @@ def test_decontamination_brute_force_and_shards(spark, docs, monkeypatch):
 
     def leaks(text):
         words, found = dc.terms(text), set()
-        for at in range(0, max(1, len(words) - index.window), index.window):
-            part = words[at : at + 2 * index.window]
+        for at in range(0, max(1, len(words) - dc.MIN_WINDOW), dc.MIN_WINDOW):
+            part = words[at : at + 2 * dc.MIN_WINDOW]
             here = {n: {tuple(part[i : i + n]) for i in range(len(part) - n + 1)} for n in (1, 2, 3)}
             for k, (weights, parts) in enumerate(zip(index.weights, index.parts)):
                 if sum(w for t, w in weights.items() if (t,) in here[1]) >= dc.THETA - 1e-9 and all(not g or 2 * len(g & here[n]) >= len(g) for n, g in parts):

@@ -37,8 +37,8 @@ def test_run_rows(spark, sf_dir):
 
     def leaks(text):
         words = terms(text)
-        for at in range(0, max(1, len(words) - index.window), index.window):
-            part = words[at : at + 2 * index.window]
+        for at in range(0, max(1, len(words) - MIN_WINDOW), MIN_WINDOW):
+            part = words[at : at + 2 * MIN_WINDOW]
             here = {n: {tuple(part[i : i + n]) for i in range(len(part) - n + 1)} for n in (1, 2, 3)}
             for weights, parts in zip(index.weights, index.parts):
                 if sum(w for t, w in weights.items() if (t,) in here[1]) >= THETA - 1e-9 and all(not g or 2 * len(g & here[n]) >= len(g) for n, g in parts):
