@@ -4,7 +4,7 @@ import hashlib
 import struct
 
 import corpus_pipeline
-from hirelake.llm.decontamination import THETA, Index, terms
+from hirelake.llm.decontamination import MIN_WINDOW, THETA, Index, terms
 from hirelake.llm.queries import ORACLE, QUERIES, tokenizer_path
 from hirelake.llm.secret_scan import redact, scan
 from test_operators import BASE, LONG, NEAR, brute_groups
