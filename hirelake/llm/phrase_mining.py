@@ -69,7 +69,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1)):
                 held.setdefault(lang, Counter()).update(pieces(t.as_py()))
-                if sum(map(len, held.values())) > 800_000:
+                if sum(map(len, held.values())) > 250_000:
                     yield told()
         yield told()
 
