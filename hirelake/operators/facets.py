@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.hosts import LOCAL_NAMES, public_host, ranges
 from ..functions.text import content_hash
+from ..plans.placed import placed
 from ..sources.tables import jobs, table
 from .catalogue import _NORM, CLASSED, JOBS, classified
 from .scoring import ORACLE as SCORING
 from .scoring import scored
 
+#: Hosts that the query of public urls puts in: some global, some not.
+ADDRESSES = ("://100.64.0.1", "://8.8.8.8:80", "://224.0.0.1", "://192.0.2.1", "://0x7f.0.0.1", "://2130706433", "://1.2.3.4", "://172.32.0.9", "://203.0.113.7")
 PAYLOAD, TITLE, DESCRIPTION = 4000, 300, 20000
-LOCAL = r"^(localhost|.*[.](localhost|local|internal)|127[.].*|10[.].*|192[.]168[.].*|172[.](1[6-9]|2[0-9]|3[01])[.].*|169[.]254[.].*|0[.].*|\[.*)$"
 
 
 def live(j: DataFrame) -> DataFrame:
@@ -43,9 +46,9 @@ def company_page(j: DataFrame, company: str, query: str = "", category: str | No
 
 
 def by_category(j: DataFrame) -> DataFrame:
-    """Category, number of jobs, and the ids of its first jobs in their order."""
-    first = F.array_join(F.slice(F.sort_array(F.collect_list("external_id")), 1, 20), ",")
-    return j.groupBy("category").agg(F.count(F.lit(1)).alias("jobs"), first.alias("ids"))
+    """Every job under its category, with the number of the category's jobs: rows, so that no list grows with a category."""
+    sizes = j.groupBy(F.col("category").alias("_of")).agg(F.count(F.lit(1)).alias("jobs"))
+    return j.join(sizes, F.col("category").eqNullSafe(F.col("_of"))).select("category", "jobs", "external_id")
 
 
 def directory(companies: DataFrame, search: str = "", industry: str | None = None, stack: tuple[str, ...] = (), order: str = "jobs") -> DataFrame:
@@ -74,7 +77,7 @@ def public_url(url: Column) -> Column:
     """Whether a url is http or https, without credentials, and of no local or private host."""
     at = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), "^https?://([^/?#]+)", 1)
     host = F.regexp_replace(at, ":[0-9]*$", "")
-    return (at != "") & ~at.contains("@") & ~host.rlike(LOCAL) & host.contains(".")
+    return (at != "") & ~at.contains("@") & public_host(host)
 
 
 def complete(j: DataFrame) -> DataFrame:
@@ -166,9 +169,10 @@ def q_score_payload(spark: SparkSession, d: str) -> DataFrame:
 def q_public_urls(spark: SparkSession, d: str) -> DataFrame:
     """Urls of pages, some with credentials, private hosts or other schemes put in their place."""
     n, url = F.col("page_id"), F.col("url")
-    put = lambda to: F.regexp_replace(url, "://[^/?#]*", to)
+    put = lambda to: F.regexp_replace(url, F.lit("://[^/?#]*"), to if isinstance(to, Column) else F.lit(to))
     odd = F.when(n % 9 == 1, put("://user:pw@x.example.com")).when(n % 9 == 2, put("://10.0.0.7:8080")).when(n % 9 == 3, F.regexp_replace(url, "^[a-z]+", "ftp"))
-    odd = odd.when(n % 9 == 4, put("://localhost:81")).when(n % 9 == 5, put("://172.20.1.1")).when(n % 9 == 6, put("://172.40.1.1:443")).when(n % 9 == 7, put("://printer.local")).otherwise(url)
+    odd = odd.when(n % 9 == 4, put("://localhost:81")).when(n % 9 == 5, put("://172.20.1.1")).when(n % 9 == 6, put("://172.40.1.1:443")).when(n % 9 == 7, put("://printer.local"))
+    odd = odd.when(n % 9 == 8, put(F.element_at(F.array(*map(F.lit, ADDRESSES)), (F.floor(n / 9) % len(ADDRESSES) + 1).cast("int")))).otherwise(url)
     return table(spark, d, "pages").select("page_id", public_url(odd).alias("is_public"))
 
 
@@ -206,8 +210,9 @@ def q_with_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_export_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first thousand rows of an export: a report."""
-    return export_order(jobs(spark, d)).select("external_id", "active", "company").orderBy(F.desc("active"), "company", "external_id").limit(1000)
+    """All rows of an export with their places."""
+    rows = jobs(spark, d).select("external_id", "active", "company")
+    return placed(rows, F.desc("active"), "company", "external_id")
 
 
 def q_archive(spark: SparkSession, d: str) -> DataFrame:
@@ -236,7 +241,7 @@ ORACLE = {
       {R.sql_first_of('title', R.CATEGORIES, R.NO_CATEGORY)} AS category, {R.sql_first_of('company', R.INDUSTRIES, R.NO_INDUSTRY)} AS industry FROM jobs""",
     "company_page": f"""WITH {CLASSED}, p AS (SELECT * FROM classed WHERE active AND NOT stale AND company = 'src1' AND list_contains(technologies, 'tion')
       AND (contains(lower(title), 't') OR len(list_filter(technologies, lambda t: contains(t, 't'))) > 0) AND external_id % 3 <> 2)
-      SELECT category, count(*) AS jobs, array_to_string(list_sort(list(external_id))[1:20], ',') AS ids FROM p GROUP BY category""",
+      SELECT category, count(*) OVER (PARTITION BY category) AS jobs, external_id FROM p""",
     "company_search": f"""WITH {CLASSED}, live AS (SELECT * FROM classed WHERE active AND NOT stale), c AS (SELECT company, industry, count(*) AS jobs, min(location) AS about,
       list_distinct(flatten(list(technologies))) AS stack FROM live GROUP BY company, industry)
       SELECT company, industry, jobs, len(stack) AS techs FROM c WHERE contains(lower(company || ' ' || about || ' ' || array_to_string(stack, ' ')), 'src1') AND list_contains(stack, 'tion') AND industry = 'Product'""",
@@ -245,9 +250,13 @@ ORACLE = {
     "score_payload": f"""WITH {JOBS} SELECT external_id, length(substr(title, 1, {TITLE})) AS title_chars, sha256(substr(coalesce(description, ''), 1, {DESCRIPTION})) AS description_sha256
       FROM jobs WHERE {_TITLED} ORDER BY external_id LIMIT {PAYLOAD}""",
     "public_urls": f"""WITH u AS (SELECT page_id, lower(CASE page_id % 9 WHEN 1 THEN {_PUT('://user:pw@x.example.com')} WHEN 2 THEN {_PUT('://10.0.0.7:8080')} WHEN 3 THEN regexp_replace(url, '^[a-z]+', 'ftp')
-        WHEN 4 THEN {_PUT('://localhost:81')} WHEN 5 THEN {_PUT('://172.20.1.1')} WHEN 6 THEN {_PUT('://172.40.1.1:443')} WHEN 7 THEN {_PUT('://printer.local')} ELSE url END) AS url FROM pages),
-      h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS a, regexp_replace(a, ':[0-9]*$', '') AS h FROM u)
-      SELECT page_id, a <> '' AND NOT contains(a, '@') AND NOT regexp_matches(h, '{LOCAL}') AND contains(h, '.') AS is_public FROM h""",
+        WHEN 4 THEN {_PUT('://localhost:81')} WHEN 5 THEN {_PUT('://172.20.1.1')} WHEN 6 THEN {_PUT('://172.40.1.1:443')} WHEN 7 THEN {_PUT('://printer.local')}
+        WHEN 8 THEN regexp_replace(url, '://[^/?#]*', [{', '.join(f"'{a}'" for a in ADDRESSES)}][((page_id // 9) % {len(ADDRESSES)} + 1)::INTEGER]) ELSE url END) AS url FROM pages),
+      h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS a, regexp_replace(a, ':[0-9]*$', '') AS h FROM u),
+      n AS (SELECT *, CASE WHEN regexp_matches(h, '^[0-9]+$') THEN h::BIGINT WHEN regexp_matches(h, '^((0x[0-9a-f]+|[0-9]+)[.]){{3}}[0-9]+$')
+        THEN list_reduce(list_transform(string_split(h, '.'), lambda p: CASE WHEN p LIKE '0x%' THEN (position(p[3] IN '0123456789abcdef') - 1) * 16 + position(p[4] IN '0123456789abcdef') - 1 ELSE p::BIGINT END), lambda x, y: x * 256 + y) END AS n FROM h)
+      SELECT page_id, a <> '' AND NOT contains(a, '@') AND CASE WHEN n IS NOT NULL THEN NOT ({' OR '.join(f'n BETWEEN {x} AND {y}' for x, y in ranges())})
+        ELSE contains(h, '.') AND NOT regexp_matches(h, '{LOCAL_NAMES}') END AS is_public FROM n""",
     "complete_jobs": f"""WITH {JOBS} SELECT company, count(*) AS jobs, sum(external_id)::BIGINT AS ids FROM jobs
       WHERE {_TITLED} AND trim(coalesce(description, ''), ' ') <> '' AND (external_id % 4 <= 1 OR location NOT IN ('de', 'fr')) GROUP BY company""",
     "source_filters": """SELECT n_name AS source_key, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE 'java' END AS include,
@@ -256,7 +265,7 @@ ORACLE = {
       round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, c_acctbal / 50)), 6) AS min_score FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0""",
     "jobs_with_features": f"""WITH {JOBS} SELECT source_key, external_id, external_id % 30 AS first_seen, sha256({_NORM('title')} || chr(10) || {_NORM('description')}) AS content_hash
       FROM jobs WHERE active AND NOT stale AND external_id % 2 = 0""",
-    "export_order": f"WITH {JOBS} SELECT external_id, active, company FROM jobs ORDER BY active DESC, company, external_id LIMIT 1000",
+    "export_order": f"WITH {JOBS} SELECT external_id, active, company, row_number() OVER (ORDER BY active DESC, company, external_id) AS place FROM jobs",
     "archive_order": f"""WITH {JOBS} SELECT external_id, company, CASE WHEN NOT active THEN external_id % 40 ELSE external_id % 50 END AS left_at FROM jobs WHERE NOT active OR stale""",
     "jobs_without_codes": f"""WITH {JOBS} SELECT company, count(*) AS jobs, sum(external_id)::BIGINT AS ids FROM jobs WHERE external_id NOT IN (SELECT page_id * 2 FROM pages) GROUP BY company""",
 }
