@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..sources.tables import table
 
 
@@ -31,10 +32,9 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def internal_links(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct relative links of each page without their fragment."""
-    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"#]*)'), 1)
-    found = table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(hrefs)).alias("href"))
-    return found.filter(F.col("href").startswith("/")).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    """Distinct links of each page that stay on its scheme, host and port, as absolute urls without their fragment."""
+    found = table(spark, d, "pages").select("page_id", F.size(urls.internal_links(F.col("html"), F.col("url"))).cast("long").alias("links"))
+    return found.filter("links > 0")
 
 
 def duplicate_titles(spark: SparkSession, d: str) -> DataFrame:
