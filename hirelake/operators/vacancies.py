@@ -10,6 +10,7 @@ from ..plans import features, match_score, merge, notify
 from ..plans.taxonomy import invented_words
 from ..sources.tables import table
 from .catalogue import _NORM, TECHNOLOGIES
+from .vacancy_sql import features_sql, mentions_sql, scores_sql
 
 FIRST, SECOND, LATER = "2026-08-01 00:00:00", "2026-08-02 00:00:00", "2026-08-12 00:00:00"
 CANDIDATE = match_score.Candidate("BACKEND", "SENIOR", 5.0, (("JAVA", "MUST_HAVE"), ("SPRING_BOOT", "MUST_HAVE"), ("KAFKA", "STRONG_PREFERENCE"), ("DOCKER", "BONUS")))
@@ -29,6 +30,11 @@ def vacancies(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def vacancy_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of a concept: its place in title and text, and the weight that its surroundings give it."""
+    return features.mention_rows(vacancies(spark, d), invented_words(), ("external_id",))
+
+
 def vacancy_features(spark: SparkSession, d: str) -> DataFrame:
     f = features.extract(vacancies(spark, d), invented_words())
     shown = F.transform(F.map_entries("concepts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["mentions"], F.lit("@"), e["value"]["context"]))
@@ -114,7 +120,7 @@ def index_outdated(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "vacancy_features": vacancy_features, "vacancy_scores": vacancy_scores, "sync_state": sync_state, "sync_counts": sync_counts,
+    "vacancy_mentions": vacancy_mentions, "vacancy_features": vacancy_features, "vacancy_scores": vacancy_scores, "sync_state": sync_state, "sync_counts": sync_counts,
     "stale_pass": stale_pass, "recheck_pass": recheck_pass, "notify_matches": notify_matches, "index_outdated": index_outdated,
 }
 _V = "v AS (SELECT source AS source_key, doc_id, source AS company, split_part(coalesce(text, ''), chr(10), 1) AS title, lang AS location, coalesce(text, '') AS description FROM documents)"
@@ -131,6 +137,10 @@ def _sql_one(names, k: int, rest: int) -> str:
 
 
 ORACLE = {
+    "vacancy_mentions": f"WITH {mentions_sql(invented_words())} SELECT * FROM m",
+    "vacancy_features": f"""WITH {features_sql(invented_words())}
+      SELECT external_id, content_hash, role, level, years, concepts, array_to_string(negatives, ',') AS negatives FROM f""",
+    "vacancy_scores": f"WITH {scores_sql(invented_words(), CANDIDATE)}",
     "sync_state": f"""WITH {_SYNC} SELECT source_key, doc_id::VARCHAR AS external_id, NOT closes AS active, closes::INTEGER AS missing_runs,
       CASE WHEN known THEN '2026-08-01' ELSE '2026-08-02' END AS first_seen, CASE WHEN seen THEN '2026-08-02' ELSE '2026-08-01' END AS last_seen,
       CASE WHEN closes THEN '2026-08-02' END AS closed_at, event FROM s""",

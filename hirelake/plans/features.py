@@ -142,6 +142,38 @@ def found_in(text: Column, taxonomy: Taxonomy) -> Column:
     return find(text)
 
 
+def mention_table(taxonomy: Taxonomy):
+    """The mentions of a text as a table function: concept, start (from 0), stop (exclusive) and context, in text order."""
+
+    @F.udtf(returnType="concept string, start long, stop long, context double")
+    class MentionRows:
+        def __init__(self):
+            self.finder = Mentions(taxonomy)
+
+        def eval(self, text: str):
+            spans = self.finder.spans(text or "")
+            for (start, stop, name), context in zip(spans, self.finder.contexts(text or "", spans), strict=True):
+                yield name, start, stop, context
+
+    return MentionRows
+
+
+def mention_rows(jobs: DataFrame, taxonomy: Taxonomy, keys: tuple[str, ...] = ("source_key", "external_id")) -> DataFrame:
+    """Keys and a row for each mention in title and description, without a shuffle; texts without any give no rows.
+
+    ``spark.udtf.register(name, mention_table(taxonomy))`` gives SQL the same rows: ``FROM jobs, LATERAL name(text)``.
+    """
+    texts = jobs.select(*keys, whole_text().alias("_text"))
+    return texts.lateralJoin(mention_table(taxonomy)(F.col("_text").outer())).drop("_text")
+
+
+def whole_text(title: Column | None = None, body: Column | None = None) -> Column:
+    """What features are read from: the title and the description, normalised, on two lines."""
+    title = normalize_text(F.col("title")) if title is None else title
+    body = normalize_text(F.col("description")) if body is None else body
+    return F.trim(F.concat(title, F.lit("\n"), body))
+
+
 def _concepts(found: Column, taxonomy: Taxonomy) -> Column:
     """Per concept: greatest context and number of mentions; concepts in the order of the taxonomy."""
     entry = lambda n: F.filter(found, lambda m: m["concept"] == n)
@@ -210,7 +242,7 @@ def extract(jobs: DataFrame, taxonomy: Taxonomy, keys: tuple[str, ...] = ("sourc
         *keys, content_hash(F.col("title"), F.col("description")).alias("content_hash"),
         normalize_text(F.col("title")).alias("_title"), normalize_text(F.col("description")).alias("_body"),
     )
-    read = base.withColumn("_found", found_in(F.trim(F.concat("_title", F.lit("\n"), "_body")), taxonomy))
+    read = base.withColumn("_found", found_in(whole_text(F.col("_title"), F.col("_body")), taxonomy))
     named = read.withColumns({"concepts": _concepts(F.col("_found.mentions"), taxonomy), "years": F.col("_found.years"), "_tl": _named_level(F.col("_title"), taxonomy), "_bl": _named_level(F.col("_body"), taxonomy)})
     title, body = F.col("_title"), F.col("_body")
     return named.select(
