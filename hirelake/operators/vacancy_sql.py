@@ -18,6 +18,11 @@ def _text(value) -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
 
+def _cents(number: str) -> str:
+    """Two places, halves of the shortest decimal form away from zero."""
+    return f"round(({number})::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE"
+
+
 def _rows(rows) -> str:
     return ", ".join("(" + ", ".join(_text(x) if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
 
@@ -153,10 +158,10 @@ def scores_sql(t: Taxonomy, c) -> str:
         (CASE WHEN names IS NULL THEN 0.0 ELSE {w['skills']} END)::DOUBLE + (cover IS NOT NULL)::INTEGER * {w['coverage']}::DOUBLE + (aged IS NOT NULL)::INTEGER * {w['experience']}::DOUBLE
           + (CASE WHEN step IS NULL THEN 0.0 ELSE level_sure END)::DOUBLE * {w['seniority']}::DOUBLE AS sure,
         list_min(list_transform(gates, lambda g: (CASE g {cap} END)::DOUBLE)) AS cap FROM base),
-      scored AS (SELECT *, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, whole, coalesce(cap, 100.0)::DOUBLE)), 2) AS score FROM rated)
-      SELECT external_id, score, CASE {bands} END AS level, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, sure)) * 100, 2) AS confidence,
+      scored AS (SELECT *, {_cents('greatest(0.0::DOUBLE, least(100.0::DOUBLE, whole, coalesce(cap, 100.0)::DOUBLE))')} AS score FROM rated)
+      SELECT external_id, score, CASE {bands} END AS level, {_cents('greatest(0.0::DOUBLE, least(1.0::DOUBLE, sure)) * 100')} AS confidence,
         CASE WHEN list_contains(gates, 'WRONG_PRIMARY_ROLE') THEN 'INELIGIBLE' WHEN role = 'UNKNOWN' OR names IS NULL THEN 'UNCERTAIN' WHEN list_contains(gates, 'JAVA_PRIMARY_MISSING') THEN 'INELIGIBLE' ELSE 'ELIGIBLE' END AS eligibility,
-        round(({' + '.join(hard)}) / {len(hard)} * 100, 2) AS hard_match, round(cover * 100, 2) AS coverage,
+        {_cents(f"({' + '.join(hard)}) / {len(hard)} * 100")} AS hard_match, {_cents('cover * 100')} AS coverage,
         {named([f"CASE WHEN x{k} THEN '{n}' END" for k, n, *_ in wants])} AS matched, {named([f"CASE WHEN NOT x{k} THEN '{n}' END" for k, n, *_ in wants])} AS partial,
         {named([f"CASE WHEN e{k} = 0 THEN '{n}' END" for k, n, i, *_ in wants if i in ('MUST_HAVE', 'STRONG_PREFERENCE')])} AS missing,
         {named([f"CASE WHEN EXISTS (SELECT 1 FROM each WHERE each.external_id = scored.external_id AND concept = '{n}' AND context > 0) THEN '{n}' END" for n in heavy] or ['NULL'])} AS wanted,
