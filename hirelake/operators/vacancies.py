@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
-from ..plans import features, match_score, merge, notify
+from ..plans import features, match_score, merge, notify, score_cache
 from ..plans.taxonomy import invented_words
+from ..sources.settle import settled
 from ..sources.tables import table
 from .catalogue import _NORM, TECHNOLOGIES
-from .vacancy_sql import features_sql, mentions_sql, scores_sql
+from .vacancy_sql import VACANCIES, features_sql, mentions_sql, scores_sql
 
 FIRST, SECOND, LATER = "2026-08-01 00:00:00", "2026-08-02 00:00:00", "2026-08-12 00:00:00"
 CANDIDATE = match_score.Candidate("BACKEND", "SENIOR", 5.0, (("JAVA", "MUST_HAVE"), ("SPRING_BOOT", "MUST_HAVE"), ("KAFKA", "STRONG_PREFERENCE"), ("DOCKER", "BONUS")))
@@ -51,6 +52,17 @@ def vacancy_scores(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("external_id", "score", "level", "confidence", "eligibility", "hard_match", "coverage", *lists)
 
 
+def cached_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the second crawl from entries of the first, of which only unknown texts are scored."""
+    t = invented_words()
+    none = spark.createDataFrame([], score_cache.ENTRY)
+    known = settled(score_cache.score_texts(score_cache.missing(_snapshot(spark, d, 1), none), CANDIDATE, t))
+    now = _snapshot(spark, d, 2)
+    fresh = score_cache.score_texts(score_cache.missing(now, known), CANDIDATE, t)
+    both = known.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
+    return score_cache.looked_up(now, both).select("external_id", "score", "band", "confidence", "eligibility", "cached")
+
+
 def _snapshot(spark: SparkSession, d: str, number: int) -> DataFrame:
     """Crawl 1 lacks ids ending in 0; crawl 2 lacks those ending in 1 and has changed texts of ids divisible by 7."""
     v, n = vacancies(spark, d), F.col("external_id").cast("long")
@@ -120,7 +132,7 @@ def index_outdated(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "vacancy_mentions": vacancy_mentions, "vacancy_features": vacancy_features, "vacancy_scores": vacancy_scores, "sync_state": sync_state, "sync_counts": sync_counts,
+    "vacancy_mentions": vacancy_mentions, "vacancy_features": vacancy_features, "vacancy_scores": vacancy_scores, "cached_scores": cached_scores, "sync_state": sync_state, "sync_counts": sync_counts,
     "stale_pass": stale_pass, "recheck_pass": recheck_pass, "notify_matches": notify_matches, "index_outdated": index_outdated,
 }
 _V = "v AS (SELECT source AS source_key, doc_id, source AS company, split_part(coalesce(text, ''), chr(10), 1) AS title, lang AS location, coalesce(text, '') AS description FROM documents)"
@@ -136,11 +148,15 @@ def _sql_one(names, k: int, rest: int) -> str:
     return f"CASE WHEN n % {k} = {rest} THEN [[{', '.join(repr(x) for x in names)}][(n % {len(names)}) + 1]] ELSE [] END"
 
 
+_SECOND = f"""(SELECT doc_id, title, CASE WHEN doc_id % 7 = 0 THEN description || ' !' ELSE description END AS description FROM {VACANCIES} WHERE doc_id % 10 <> 1)"""
+_HASH = f"{_NORM('title')} || chr(10) || {_NORM('description')}"
 ORACLE = {
     "vacancy_mentions": f"WITH {mentions_sql(invented_words())} SELECT * FROM m",
     "vacancy_features": f"""WITH {features_sql(invented_words())}
       SELECT external_id, content_hash, role, level, years, concepts, array_to_string(negatives, ',') AS negatives FROM f""",
     "vacancy_scores": f"WITH {scores_sql(invented_words(), CANDIDATE)}",
+    "cached_scores": f"""SELECT external_id, score, level AS band, confidence, eligibility, {_HASH} IN (SELECT {_HASH} FROM {VACANCIES} WHERE doc_id % 10 <> 0) AS cached
+      FROM (WITH {scores_sql(invented_words(), CANDIDATE, _SECOND)}) JOIN (SELECT doc_id::VARCHAR AS external_id, title, description FROM {_SECOND}) USING (external_id)""",
     "sync_state": f"""WITH {_SYNC} SELECT source_key, doc_id::VARCHAR AS external_id, NOT closes AS active, closes::INTEGER AS missing_runs,
       CASE WHEN known THEN '2026-08-01' ELSE '2026-08-02' END AS first_seen, CASE WHEN seen THEN '2026-08-02' ELSE '2026-08-01' END AS last_seen,
       CASE WHEN closes THEN '2026-08-02' END AS closed_at, event FROM s""",

@@ -39,12 +39,15 @@ def _aliases(t: Taxonomy) -> list[tuple[str, str]]:
     return own + [(a, parent[n]) for a, n in own if n in parent and set(a.split()) & set(t.concept(parent[n]).aliases)]
 
 
-def mentions_sql(t: Taxonomy) -> str:
-    """CTEs from documents to m(external_id, concept, start, stop, context); start counts from 0, stop is exclusive."""
+VACANCIES = "(SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS description FROM documents)"
+
+
+def mentions_sql(t: Taxonomy, source: str = VACANCIES) -> str:
+    """CTEs from vacancies (doc_id, title, description) to m(external_id, concept, start, stop, context); start counts from 0, stop is exclusive."""
     part = "OVER (PARTITION BY external_id ORDER BY i"
     modifiers = [(p, name, float(value)) for name, value, phrases in t.modifiers for p in phrases]
-    return rf"""n AS (SELECT doc_id::VARCHAR AS external_id, {_NORM("split_part(coalesce(text, ''), chr(10), 1)")} AS title, {_NORM("coalesce(text, '')")} AS body,
-        trim(title || chr(10) || body) AS whole FROM documents),
+    return rf"""n AS (SELECT *, trim(title || chr(10) || body) AS whole
+        FROM (SELECT doc_id::VARCHAR AS external_id, {_NORM("title")} AS title, {_NORM("description")} AS body FROM {source})),
       alias(word, concept) AS (VALUES {_rows(_aliases(t))}), modifier(word, name, value) AS (VALUES {_rows(modifiers)}),
       cut AS (SELECT external_id, length(whole) AS size, regexp_extract_all(whole, '{EDGE}+|[^{EDGE[1:]}+') AS parts FROM n),
       word AS (SELECT external_id, size, unnest(parts) AS w, generate_subscripts(parts, 1) AS i FROM cut),
@@ -85,7 +88,7 @@ def _years(t: Taxonomy) -> str:
         AND regexp_matches(substr(whole, greatest(0, s - {YEARS_NEAR})::BIGINT + 1, (s + length(hit) + {YEARS_NEAR} - greatest(0, s - {YEARS_NEAR}))::BIGINT), '{EXPERIENCE.pattern}') GROUP BY external_id)"""
 
 
-def features_sql(t: Taxonomy) -> str:
+def features_sql(t: Taxonomy, source: str = VACANCIES) -> str:
     """CTEs to f, a row a vacancy: role, level, years, negatives, the concepts with their counts and contexts as a list."""
     level = lambda text: "CASE " + " ".join(
         f"WHEN {_holds(text, [a])} THEN '{name}'" for _, _, a, name in sorted(((-len(a), -rank, a, name) for name, rank, of in t.levels for a in of))
@@ -103,7 +106,7 @@ def features_sql(t: Taxonomy) -> str:
         return f"CASE WHEN {_holds('title', n.patterns)} OR len(list_filter({spoken}, lambda s: {_holds('s', n.patterns)})) > 0 THEN '{n.name}' END"
 
     order = [c.name for c in t.concepts]
-    return f"""{mentions_sql(t)}, {_years(t)},
+    return f"""{mentions_sql(t, source)}, {_years(t)},
       each AS (SELECT external_id, concept, count(*) AS mentions, max(context) AS context, list_position({order}, concept) AS place FROM m GROUP BY external_id, concept),
       held AS (SELECT external_id, list(concept ORDER BY place) AS names, string_agg(concept || ':' || mentions || '@' || context, ',' ORDER BY place) AS concepts FROM each GROUP BY external_id),
       told_level AS (SELECT external_id, {level('title')} AS tl, {level('body')} AS bl FROM n),
@@ -115,7 +118,7 @@ def features_sql(t: Taxonomy) -> str:
         FROM n LEFT JOIN held USING (external_id) LEFT JOIN asked USING (external_id) LEFT JOIN told_level USING (external_id))"""
 
 
-def scores_sql(t: Taxonomy, c) -> str:
+def scores_sql(t: Taxonomy, c, source: str = VACANCIES) -> str:
     """Score of each vacancy for a candidate, from f and each: one row a requirement, summed in the order of the requirements."""
     low, high, most = t.boost
     wants = [(k, n, i, t.importance[i], t.concept(n).category) for k, (n, i) in enumerate(c.requirements)]
@@ -145,7 +148,7 @@ def scores_sql(t: Taxonomy, c) -> str:
     bands = " ".join(f"WHEN score >= {least} THEN '{name}'" for least, name in sorted(t.bands, reverse=True))
     w, hard = t.component, [f"e{k}" for k, _, i, *_ in wants if i == "MUST_HAVE"]
     named = lambda rows: "array_to_string(list_filter([" + ", ".join(rows) + "], lambda x: x IS NOT NULL), ',')"
-    return f"""{features_sql(t)},
+    return f"""{features_sql(t, source)},
       choice(k, concept, semantic, exact, place) AS (VALUES {_rows(options)}), weight(concept, weight, covered) AS (VALUES {_rows(weights)}),
       met AS (SELECT external_id, k, semantic, exact, mentions, context FROM each JOIN choice USING (concept) QUALIFY row_number() OVER (PARTITION BY external_id, k ORDER BY choice.place) = 1),
       worth AS (SELECT external_id, k, exact, least(1.0::DOUBLE, semantic::DOUBLE * context * CASE WHEN mentions >= {low} THEN 1 + {most}::DOUBLE * ((least(mentions, {high}) - {low} + 1) / {high - low + 1}::DOUBLE) ELSE 1.0::DOUBLE END) AS e FROM met),
