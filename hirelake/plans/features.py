@@ -10,7 +10,6 @@ import heapq
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,17 +26,13 @@ EXPERIENCE = re.compile("опыт|experience|commercial|коммерч|разр
 #: Marks of a sentence about the company or the team.
 ABOUT_OTHERS = "в компании|команд|работают|есть|много"
 CONCEPTS = "map<string,struct<match:double,context:double,confidence:double,mentions:int>>"
-FOUND = "struct<mentions:array<struct<concept:string,context:double>>,years:int>"
+FOUND = "struct<concepts:array<struct<concept:string,context:double,mentions:int>>,years:int>"
 
 
-def phrase(text: Column, words: str) -> Column:
-    """Whether the phrase stands in the text between word borders."""
+def phrase(text: Column, *words: str) -> Column:
+    """Whether one of the phrases stands in the text between word borders."""
     edge = r"[\p{L}\p{N}_+#]"
-    return text.rlike(rf"(?<!{edge})\Q{words}\E(?!{edge})")
-
-
-def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [phrase(text, w) for w in words], F.lit(False))
+    return text.rlike(rf"(?<!{edge})(?:{'|'.join(rf'\Q{w}\E' for w in words)})(?!{edge})") if words else F.lit(False)
 
 
 def _borders(inner: str) -> re.Pattern:
@@ -57,6 +52,7 @@ class Mentions:
 
     def __init__(self, taxonomy: Taxonomy):
         pairs = sorted(((a, c.name) for c in taxonomy.concepts for a in c.aliases), key=lambda p: (-len(p[0]), p))
+        self.order = [c.name for c in taxonomy.concepts]
         self.by_alias = {a: n for a, n in reversed(pairs)}
         self.stems = [(re.compile(_stem(a)), n) for a, n in pairs if _stem(a) != re.escape(a)]
         self.each = [(_borders(_stem(a)), n) for a, n in pairs]
@@ -126,18 +122,21 @@ class Mentions:
 
     def read(self, text: str) -> dict:
         spans = self.spans(text)
-        mentions = [{"concept": n, "context": c} for (_, _, n), c in zip(spans, self.contexts(text, spans), strict=True)]
-        return {"mentions": mentions, "years": self.min_years(text)}
+        by_name: dict[str, list[float]] = {}
+        for (_, _, name), context in zip(spans, self.contexts(text, spans), strict=True):
+            by_name.setdefault(name, []).append(context)
+        concepts = [{"concept": n, "context": max(by_name[n]), "mentions": len(by_name[n])} for n in self.order if n in by_name]
+        return {"concepts": concepts, "years": self.min_years(text)}
 
 
 def found_in(text: Column, taxonomy: Taxonomy) -> Column:
-    """Mentions in text order with their context, and the years of experience asked for."""
+    """Concepts in the order of the taxonomy with greatest context and number of mentions, and the years of experience asked for."""
 
     @F.pandas_udf(FOUND)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         finder = Mentions(taxonomy)
         for texts in batches:
-            yield pd.DataFrame([finder.read(t) for t in texts], columns=["mentions", "years"])
+            yield pd.DataFrame([finder.read(t) for t in texts], columns=["concepts", "years"])
 
     return find(text)
 
@@ -174,26 +173,16 @@ def whole_text(title: Column | None = None, body: Column | None = None) -> Colum
     return F.trim(F.concat(title, F.lit("\n"), body))
 
 
-def _concepts(found: Column, taxonomy: Taxonomy) -> Column:
-    """Per concept: greatest context and number of mentions; concepts in the order of the taxonomy."""
-    entry = lambda n: F.filter(found, lambda m: m["concept"] == n)
-    entries = F.transform(
-        F.filter(F.array(*[F.lit(c.name) for c in taxonomy.concepts]), lambda n: F.exists(found, lambda m: m["concept"] == n)),
-        lambda n: F.struct(
-            n.alias("key"),
-            F.struct(
-                F.lit(1.0).alias("match"), F.array_max(F.transform(entry(n), lambda m: m["context"])).alias("context"),
-                F.lit(1.0).alias("confidence"), F.size(entry(n)).alias("mentions"),
-            ).alias("value"),
-        ),
-    )
-    return F.map_from_entries(entries)
+def _concepts(found: Column) -> Column:
+    """Concepts as a map from name to what scores need."""
+    entry = lambda m: F.struct(F.lit(1.0).alias("match"), m["context"].alias("context"), F.lit(1.0).alias("confidence"), m["mentions"].alias("mentions"))
+    return F.map_from_entries(F.transform(found, lambda m: F.struct(m["concept"].alias("key"), entry(m).alias("value"))))
 
 
 def _role(title: Column, body: Column, concepts: Column, t: Taxonomy) -> Column:
     """First role named in the title, then title hints, then two signals and a fitting description."""
     make = lambda n, m, c: F.struct(F.lit(n).alias("primary"), F.lit(m).alias("match"), F.lit(c).alias("confidence"))
-    rules = [(_any(title, aliases), make(name, 0.7 if name == "FULLSTACK" else 1.0, 1.0)) for name, aliases in t.roles]
+    rules = [(phrase(title, *aliases), make(name, 0.7 if name == "FULLSTACK" else 1.0, 1.0)) for name, aliases in t.roles]
     rules += [(title.rlike(pattern), make(name, value, value)) for name, pattern, value in t.role_hints]
     signals = sum([F.map_contains_key(concepts, s).cast("int") for s in t.role_signals], F.lit(0))
     if t.role_context:
@@ -225,7 +214,8 @@ def _negatives(title: Column, body: Column, t: Taxonomy) -> Column:
     sentences = F.split(body, "[.!?\n;]+")
     def one(n):
         spoken = F.filter(sentences, lambda s: ~s.rlike(ABOUT_OTHERS)) if n.conflict else sentences
-        return _any(title, n.patterns) | F.exists(spoken, lambda s: _any(s, n.patterns))
+        # Borders of sentences are borders of words, so a text without the phrase has no sentence with it.
+        return phrase(title, *n.patterns) | (phrase(body, *n.patterns) & F.exists(spoken, lambda s: phrase(s, *n.patterns)))
 
     fields = [F.struct(F.lit(n.name).alias("id"), F.lit(float(n.penalty)).alias("penalty"), F.lit(n.conflict).alias("conflict")) for n in t.negatives]
     out = [F.when(one(n), f) for n, f in zip(t.negatives, fields, strict=True)]
@@ -238,15 +228,12 @@ def extract(jobs: DataFrame, taxonomy: Taxonomy, keys: tuple[str, ...] = ("sourc
 
     Null texts count as empty; a row without concepts has an empty map.
     """
-    base = jobs.select(
-        *keys, content_hash(F.col("title"), F.col("description")).alias("content_hash"),
-        normalize_text(F.col("title")).alias("_title"), normalize_text(F.col("description")).alias("_body"),
-    )
+    base = jobs.select(*keys, normalize_text(F.col("title")).alias("_title"), normalize_text(F.col("description")).alias("_body"))
     read = base.withColumn("_found", found_in(whole_text(F.col("_title"), F.col("_body")), taxonomy))
-    named = read.withColumns({"concepts": _concepts(F.col("_found.mentions"), taxonomy), "years": F.col("_found.years"), "_tl": _named_level(F.col("_title"), taxonomy), "_bl": _named_level(F.col("_body"), taxonomy)})
+    named = read.withColumns({"concepts": _concepts(F.col("_found.concepts")), "years": F.col("_found.years"), "_tl": _named_level(F.col("_title"), taxonomy), "_bl": _named_level(F.col("_body"), taxonomy)})
     title, body = F.col("_title"), F.col("_body")
     return named.select(
-        *keys, F.lit(taxonomy.version).alias("version"), "content_hash",
+        *keys, F.lit(taxonomy.version).alias("version"), F.sha2(F.concat(title, F.lit("\n"), body), 256).alias("content_hash"),
         _role(title, body, F.col("concepts"), taxonomy).alias("role"),
         _seniority(F.col("_tl"), F.col("_bl"), F.col("years")).alias("seniority"),
         "years", "concepts", _negatives(title, body, taxonomy).alias("negatives"),
