@@ -122,7 +122,7 @@ def notify_matches(spark: SparkSession, d: str) -> DataFrame:
     )
     n = F.col("s_suppkey")
     people = table(spark, d, "supplier").select(F.concat(F.lit("c"), n.cast("string")).alias("chat_id"), *_wanted(n))
-    return notify.matched(events, people).groupBy("chat_id").agg(F.count(F.lit(1)).alias("jobs"), F.sum("event_id").alias("ids"))
+    return notify.tallied(events, people)
 
 
 def index_outdated(spark: SparkSession, d: str) -> DataFrame:

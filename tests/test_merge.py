@@ -93,3 +93,26 @@ def test_notify(spark):
     assert after.count() == 8 and N.unsent(pairs, after).count() == 0
     text = spark.range(1).select(N.message(F.lit("A&B"), F.lit(""), F.lit("u?a=1"), F.lit(81.6)), N.digest_parts(F.array(*map(F.lit, (5, 6, 3, 20))), 10)).first()
     assert text[0] == '<b>A&amp;B</b>\nUntitled\nmatch 82%\n<a href="u?a=1">open</a>' and text[1] == [0, 1, 1, 2]
+
+
+def test_tallied(spark):
+    """Counts without pairs are those of the pairs: over several broadcasts, with chats of several filters and with keywords."""
+    techs, firms = ["java", "sql", "go"], ["acme", "beta labs", "", None]
+    jobs = spark.createDataFrame(
+        [(k, firms[k % 4], ["Java dev", "QA", None][k % 3], ["Berlin", None][k % 2], None, "", f"text {k % 5}", techs[k % 3 :] or None, float(k)) for k in range(40)], JOB
+    )
+    wants = [{}, {"technologies": ["Java", "SQL"]}, {"companies": ["a"]}, {"locations": ["ber"], "keywords": ["text 3"]}, {"title_words": ["qa"], "technologies": ["go"]}, {"keywords": ["acme"]}]
+    person = lambda chat, score, k: (chat, *[k.get(a) for a in N.ARRAYS], score)
+    people = [person(f"c{i}", [None, 20.0][i % 2], wants[i % 6]) for i in range(30)] + [person("c1", None, wants[2]), person("c1", None, wants[4]), person("", None, {})]
+    people = spark.createDataFrame(people + people[:3], PERSON)
+    want = sorted(map(tuple, N.matched(jobs, people, salts=2).groupBy("chat_id").agg(F.count("*"), F.sum("event_id")).collect()))
+    for asked_rows in (N.ASKED, 2):
+        assert sorted(map(tuple, N.tallied(jobs, people, asked_rows).collect())) == want
+    assert len(want) == 30
+
+
+def test_filters_are_matched_once(spark):
+    """Subscribers who share a filter are one row where events are met."""
+    people = spark.createDataFrame([(f"c{i}", *[["Java", "java"] if a == "technologies" else None for a in N.ARRAYS], None) for i in range(50)], PERSON)
+    jobs = spark.createDataFrame([(1, "Acme", "x", "", "", "", "", ["Java"], None)], JOB)
+    assert N._asked(jobs, N._members(people), 2).count() == 1 and N.matched(jobs, people).count() == 50
