@@ -79,3 +79,21 @@ def test_empty(spark):
     assert R.resolve(p, v).collect() == []
     one = spark.createDataFrame([(1, "https://a.b/c", "java developer", None)], STRUCT.format("page_id"))
     assert [tuple(r) for r in R.resolve(one, v).collect()] == [(1, None, "", None)]
+
+
+def test_pairs_are_not_written(spark, monkeypatch):
+    """Titles that are all alike: what is written between steps grows with the titles, not with their pairs."""
+    written = []
+
+    def counting(df, settled=R.settled):
+        out = settled(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "settled", counting)
+    row = lambda i, site, company: (i, f"https://{site}.org/{i}", f"senior java developer data lead x{i}", company)
+    p = spark.createDataFrame([row(i, "seen", "acme") for i in range(60)], STRUCT.format("page_id"))
+    v = spark.createDataFrame([row(i, "jobs", "acme") for i in range(100, 160)], STRUCT.format("vacancy_id"))
+    got = R.resolve(p, v).collect()
+    assert {(r.vacancy_id, r.how) for r in got} == {(100, "title")} and len(got) == 60
+    assert max(written) <= 130
