@@ -28,6 +28,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,10 @@ CHUNK = 1 << 16
 PAIRS = 300_000_000
 TRIE = 2_000_000
 WORDS = 500_000
-#: Numbers a row of a written sequence, and places a task (128 MB), as every task sends its own counts of all candidates.
-ROW = 1 << 18
+#: Numbers that a task works on at a time, and a row of a written sequence: readers hold some thousands of rows at once, so rows of
+#: 4 kB bound them at 16 MB. Places a task (128 MB), as every task sends its own counts of all candidates.
+STEP = 1 << 18
+ROW = 1 << 10
 TASK = 1 << 25
 SALT = 32
 BREAK = b"\n"
@@ -136,29 +139,54 @@ def encoded(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _written(sequences):
-    """Sequences that end in 0 as rows of about ROW numbers, runs of 0 cut to one."""
+    """Sequences that end in 0 as rows of about ROW numbers, cut at a 0 and sent STEP numbers at a time, runs of 0 cut to one."""
     held, size = [], 0
 
     def told():
         x = np.concatenate(held) if held else np.zeros(0, np.uint32)
         stays = x != 0
         stays[1:] |= x[:-1] != 0
-        return pa.RecordBatch.from_arrays([pa.array([x[stays].tobytes()], pa.binary())], ["numbers"])
+        x = x[stays]
+        cuts = np.flatnonzero(x == 0) + 1
+        ends = np.unique(np.append(0, cuts[np.searchsorted(cuts, np.arange(ROW, len(x) + ROW, ROW)).clip(max=len(cuts) - 1)])) if len(cuts) else [0]
+        return _batch(numbers=_rows(x, np.asarray(ends, np.int64) * 4))
 
     for x in sequences:
         held.append(x)
         size += len(x)
-        if size > ROW:
+        if size > STEP:
             yield told()
             held, size = [], 0
     if held:
         yield told()
 
 
-def _sequences(batches):
+def _rows(x: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Numbers as a column of rows that end at these bytes, the first of which is 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _steps(batches):
+    """Parts of batches of sequences, each of about STEP numbers."""
     for b in batches:
-        for x in b.column(0):
-            yield np.frombuffer(x.as_buffer(), np.uint32)
+        ends = np.cumsum(pc.binary_length(b.column(0)).to_numpy() // 4)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The sequences of a column one after the other, as each ends in 0."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint32, (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.zeros(0, np.uint32)
+
+
+def _sequences(batches):
+    for b in _steps(batches):
+        yield _numbers(b.column(0))
 
 
 def _pairs(x: np.ndarray) -> np.ndarray:
@@ -342,13 +370,12 @@ def advanced(texts: DataFrame, phrases: DataFrame) -> DataFrame:
 
         def run(batches, shared=shared, first=first):
             trie = pickle.loads(shared.value)
-            for b in batches:
-                for k in range(b.num_rows):
-                    x = np.frombuffer(b.column(0)[k].as_buffer(), np.uint32)
-                    y = np.zeros(len(x), np.uint32) if first else np.frombuffer(b.column(1)[k].as_buffer(), np.uint32).copy()
-                    at, slot = trie.reached(x)
-                    y[at] = trie.ids[slot]
-                    yield _batch(numbers=pa.array([x.tobytes()], pa.binary()), longer=pa.array([y.tobytes()], pa.binary()))
+            for b in _steps(batches):
+                x = _numbers(b.column(0))
+                y = np.zeros(len(x), np.uint32) if first else _numbers(b.column(1)).copy()
+                at, slot = trie.reached(x)
+                y[at] = trie.ids[slot]
+                yield _batch(numbers=b.column(0), longer=_rows(y, np.append(0, np.cumsum(pc.binary_length(b.column(0)).to_numpy()))))
 
         before, out = out, cut((texts if out is None else out).mapInArrow(run, "numbers binary, longer binary"), "pm-longer")
         if before is not None:

@@ -178,3 +178,16 @@ def test_features_do_not_depend_on_pieces(monkeypatch):
 
 def test_sql_is_there():
     assert {"op12_phrase_mining", "op13_ranked_search"} <= set(oracle.ORACLE)
+
+
+def test_rows_of_sequences_are_small():
+    """Readers hold thousands of rows at once, so rows stay near ROW numbers, however long the texts; numbers and breaks stay."""
+    texts = [np.tile(np.array([5, 6, 7, 0, 0, 8, 0], np.uint32), 20_000), np.array([0, 1, 2, 0], np.uint32), np.zeros(1, np.uint32), np.full(3_000, 9, np.uint32) * (np.arange(3_000) < 2_999)]
+    batches = list(phrase_mining._written(iter(texts)))
+    rows = [np.frombuffer(x, np.uint32) for b in batches for x in b.column(0).to_pylist()]
+    assert max(map(len, rows[:-1])) <= phrase_mining.ROW + 3_000 and sorted(map(len, rows))[len(rows) // 2] <= phrase_mining.ROW + 8
+    x = np.concatenate(texts)
+    stays = (x != 0) | np.append(False, x[:-1] != 0)
+    assert all(r[-1] == 0 for r in rows) and np.array_equal(np.concatenate(rows), x[stays])
+    assert np.array_equal(np.concatenate(list(phrase_mining._sequences(b.slice(1) for b in batches))), np.concatenate(rows)[len(rows[0]) :])
+    assert list(phrase_mining._written(iter([]))) == [] and next(phrase_mining._written(iter([np.zeros(2, np.uint32)]))).num_rows == 0
