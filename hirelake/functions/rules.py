@@ -6,6 +6,8 @@ Java's and RE2's regular expressions know, so the same patterns serve Spark and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,23 +72,43 @@ NO_INDUSTRY = "Technology"
 REMOTE = "remote|удалён|удален|гибрид"
 
 
+_IN = r"[\pL\pN_]"
+
+
 def portable(pattern: str) -> str:
     """The pattern with its word borders written out."""
     return pattern.replace("<", r"(?:^|[^\pL\pN_])").replace(">", r"(?:$|[^\pL\pN_])")
 
 
+def _compiled(pattern: str) -> str:
+    """The pattern for Spark, which finds the same texts as ``portable``: borders are looked at, not read, and that before a word
+    only after its first letter has been found, so that nearly all places of a text cost one comparison."""
+    lone = r"[^\\()\[\]{}|?*+.<>^$]"
+    # Borders as other characters first: what is put in has < and > of its own.
+    marked = re.sub(rf"<({lone})(?![?*+{{])", "\\1\x00\\1\x01", pattern).replace("<", "\x02").replace(">", f"(?!{_IN})")
+    return re.sub("\x00(.)\x01", lambda m: f"(?<!{_IN}{m[1]})", marked).replace("\x02", f"(?<!{_IN})")
+
+
+def _once(text: Column, use) -> Column:
+    """``use`` of the text in lower case, which is made once a row."""
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), use)[0]
+
+
 def technologies(text: Column, rules: tuple = TECHNOLOGIES) -> Column:
     """Names of all rules that fit, in their order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.when(low.rlike(portable(p)), F.lit(n)) for n, p in rules]), lambda n: n.isNotNull())
+    return _once(text, lambda low: F.array_compact(F.array(*[F.when(low.rlike(_compiled(p)), F.lit(n)) for n, p in rules])))
 
 
 def first_of(text: Column, rules: tuple, default: str) -> Column:
     """Name of the first rule that fits."""
-    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(default)
-    for name, pattern in reversed(rules):
-        out = F.when(low.rlike(portable(pattern)), name).otherwise(out)
-    return out
+
+    def named(low: Column) -> Column:
+        out = F.lit(default)
+        for name, pattern in reversed(rules):
+            out = F.when(low.rlike(_compiled(pattern)), name).otherwise(out)
+        return out
+
+    return _once(text, named)
 
 
 def sql_technologies(text: str, rules: tuple = TECHNOLOGIES) -> str:

@@ -54,3 +54,15 @@ def test_runs(spark):
     jobs = spark.createDataFrame([("s", "A"), ("s", "B")], "source_key string, company string")
     assert {x.source_key: x.company for x in A.named_runs(runs, jobs).collect()} == {"s": "B", "t": "own", "u": "u"}
     assert A.run_report(runs.limit(0), ("n",)).first().n == 0
+
+
+def test_compiled_rules(spark):
+    """Patterns as Spark runs them find what the portable ones find, at all borders; none begins by reading a border."""
+    said = ["java", "xjava", "java1", "(java)", "a_java", "java_", "\njava\n", "go developer", "go-engineer", "algo engineer", "c#", "c#x", "x.net", ".nets", "c++", "c++b", "cpp", "с++", "1c", "21с", "1c-enterprise", "ml/x", "xml-", "ai ", "l2", "l2x", "bi", "bix",
+            "машинное обучение", "ux", "uxe", "aqa", "qa", "java java1", "xjava java", "😀java", "яjava", "", "dynamics ax", "dynamics axe", "internship", "interns", "arm64", "iot,", "riot"]
+    rules = R.TECHNOLOGIES + R.CATEGORIES + R.INDUSTRIES
+    t = spark.createDataFrame([(t,) for t in said], "t string")
+    both = lambda f: F.array(*[F.col("t").rlike(f(p)) for _, p in rules])
+    rows = t.select("t", both(R.portable).alias("a"), both(R._compiled).alias("b")).collect()
+    assert [r.t for r in rows if r.a != r.b] == [] and any(any(r.a) for r in rows)
+    assert not any(R._compiled(p).startswith("(?:^|") for _, p in rules)
