@@ -30,9 +30,10 @@ FOUND = "struct<concepts:array<struct<concept:string,context:double,mentions:int
 
 
 def phrase(text: Column, *words: str) -> Column:
-    """Whether one of the phrases stands in the text between word borders."""
+    """Whether one of the phrases stands in the text between word borders; the border before one is looked at after its first letter."""
     edge = r"[\p{L}\p{N}_+#]"
-    return text.rlike(rf"(?<!{edge})(?:{'|'.join(rf'\Q{w}\E' for w in words)})(?!{edge})") if words else F.lit(False)
+    each = [rf"\Q{w[0]}\E(?<!{edge}\Q{w[0]}\E)\Q{w[1:]}\E" for w in words]
+    return text.rlike(rf"(?:{'|'.join(each)})(?!{edge})") if words else F.lit(False)
 
 
 def _borders(inner: str) -> re.Pattern:
@@ -223,12 +224,13 @@ def _negatives(title: Column, body: Column, t: Taxonomy) -> Column:
     return F.filter(typed, lambda s: s.isNotNull())
 
 
-def extract(jobs: DataFrame, taxonomy: Taxonomy, keys: tuple[str, ...] = ("source_key", "external_id")) -> DataFrame:
+def extract(jobs: DataFrame, taxonomy: Taxonomy, keys: tuple[str, ...] = ("source_key", "external_id"), normal: bool = False) -> DataFrame:
     """Keys, version, content_hash, role, seniority, years, concepts and negatives of each row's title and description.
 
-    Null texts count as empty; a row without concepts has an empty map.
+    Null texts count as empty; a row without concepts has an empty map. ``normal``: the texts were normalised before.
     """
-    base = jobs.select(*keys, normalize_text(F.col("title")).alias("_title"), normalize_text(F.col("description")).alias("_body"))
+    plain = F.col if normal else lambda name: normalize_text(F.col(name))
+    base = jobs.select(*keys, plain("title").alias("_title"), plain("description").alias("_body"))
     read = base.withColumn("_found", found_in(whole_text(F.col("_title"), F.col("_body")), taxonomy))
     named = read.withColumns({"concepts": _concepts(F.col("_found.concepts")), "years": F.col("_found.years"), "_tl": _named_level(F.col("_title"), taxonomy), "_bl": _named_level(F.col("_body"), taxonomy)})
     title, body = F.col("_title"), F.col("_body")

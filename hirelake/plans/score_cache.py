@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, normalize_text
 from . import features, match_score
 from .match_score import Candidate
 from .taxonomy import Taxonomy
@@ -45,16 +45,17 @@ def entries(spark: SparkSession, store: str, candidate: Candidate, taxonomy: Tax
 
 
 def missing(jobs: DataFrame, known: DataFrame) -> DataFrame:
-    """content_hash, title and description of each text that has no entry, once. Copies are one group, combined before the
-    shuffle."""
-    texts = jobs.select(content_hash(F.col("title"), F.col("description")).alias("content_hash"), "title", "description")
+    """content_hash and the normalised title and description of each text that has no entry, once. Copies are one group, combined
+    before the shuffle; texts of equal hash are equal when normalised, so any of them stands for all."""
+    plain = jobs.select(normalize_text(F.col("title")).alias("title"), normalize_text(F.col("description")).alias("description"))
+    texts = plain.select(F.sha2(F.concat("title", F.lit("\n"), "description"), 256).alias("content_hash"), "title", "description")
     new = texts.join(known.select("content_hash"), "content_hash", "left_anti")
-    return new.groupBy("content_hash").agg(F.min(F.struct("title", "description")).alias("t")).select("content_hash", "t.*")
+    return new.dropDuplicates(["content_hash"])
 
 
 def score_texts(texts: DataFrame, candidate: Candidate, taxonomy: Taxonomy) -> DataFrame:
-    """Entries of texts (content_hash, title, description)."""
-    found = features.extract(texts.withColumnRenamed("content_hash", "text_key"), taxonomy, ("text_key",))
+    """Entries of texts (content_hash, title, description), normalised as ``missing`` gives them."""
+    found = features.extract(texts.withColumnRenamed("content_hash", "text_key"), taxonomy, ("text_key",), normal=True)
     scored = match_score.score(found.drop("content_hash"), candidate, taxonomy)
     return scored.withColumnRenamed("text_key", "content_hash").select(*[c.split()[0] for c in ENTRY.split(", ")])
 

@@ -1,5 +1,7 @@
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from hirelake.plans import features, match_score, score_cache
 from hirelake.plans.taxonomy import java_backend
 
@@ -41,3 +43,13 @@ def test_written_twice(spark, tmp_path):
 def test_digest():
     a = replace(C, excluded=frozenset({"A", "B"}))
     assert score_cache.profile_digest(a) == score_cache.profile_digest(replace(C, excluded=frozenset({"B", "A"}))) != score_cache.profile_digest(C)
+
+
+def test_texts_are_normalised_once(spark):
+    """What is missing comes normalised, so that scoring doesn't do it again; phrases are found at all borders."""
+    j = jobs(spark, ("  Java\n Developer – Ё", "A  B"), ("java developer - е", "a b"))
+    got = score_cache.missing(j, spark.createDataFrame([], score_cache.ENTRY)).collect()
+    assert [(r.title, r.description) for r in got] == [("java developer - е", "a b")]
+    said = ["c++", "xc++", "c++ x", "c++b", "java", "_java", "java_", "(java)", "javajava java", "яjava", "a java"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", features.phrase(F.col("t"), "java", "c++").alias("b")).collect()
+    assert [r.t for r in rows if r.b] == ["c++", "c++ x", "java", "(java)", "javajava java", "a java"]
